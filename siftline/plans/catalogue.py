@@ -1,0 +1,11 @@
+"""The query catalogue of the retrieval engine."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
