@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, neardup
 from .common import table
 
 
@@ -34,6 +34,11 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
