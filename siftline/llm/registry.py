@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup
+from . import decontaminate, linededup, neardup
 from .common import table
 
 
@@ -34,6 +34,31 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), run=linededup.RUN)
+    return left.select("doc_id", "n_lines", "n_removed_lines", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS no, string_split(text, chr(10))[i] AS line, trim(regexp_replace(string_split(text, chr(10))[i], '[\t\r\x0B\f]', ' ', 'g')) AS t
+  FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
+s AS (SELECT doc_id, no, t, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k FROM l WHERE t <> ''),
+w AS (
+  SELECT doc_id, k, no AS n1, lead(no) OVER o AS n2, lead(no, 2) OVER o AS n3, t AS t1, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3
+  FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
+r AS (
+  SELECT doc_id, n1, n2, n3, row_number() OVER (PARTITION BY t1, t2, t3 ORDER BY doc_id, k) AS nth FROM w WHERE n3 IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest([n1, n2, n3]) AS no FROM r WHERE nth > 1),
+k AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (g.no IS NULL) AS kept, count(*) AS n_lines, count(g.no) AS n_removed
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed_lines,
+  CASE WHEN d.text IS NOT NULL THEN CAST(length(coalesce(kept, '')) AS BIGINT) END AS n_chars_left, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
@@ -45,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL}
