@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, neardup
+from . import annforest, decontaminate, linededup, neardup
 from .common import table
 
 
@@ -59,6 +59,10 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
+def op3_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
