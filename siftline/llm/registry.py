@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, decontaminate, linededup, neardup
+from . import annforest, decontaminate, langid, linededup, neardup
 from .common import table
 
 
@@ -63,6 +63,17 @@ def op3_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def _fold(doc_id: str, parts: int):
+    """crc32 of the id as text, modulo parts; null for a null id."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(parts))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn(docs.where(_fold("doc_id", 3) != 1).select("text", "lang"))
+    return langid.predict(docs, profiles).select("doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
