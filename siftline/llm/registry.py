@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annforest, decontaminate, langid, linededup, neardup
+from . import annforest, decontaminate, langid, linededup, neardup, toxicity
 from .common import table
 
 
@@ -76,7 +76,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
-    return found.select("doc_id", "n_shingles", "component_id", "kept", "links")
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs.where(_fold("doc_id", 4) != 2), labels.where(_fold("doc_id", 4) != 2))
+    held = F.coalesce(_fold("doc_id", 4) == 2, F.lit(True)).alias("held_out")
+    return toxicity.scores(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def queries() -> dict:
