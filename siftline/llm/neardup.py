@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,10 @@ from .common import staged
 from .components import connected
 from .kernels import buffers, shingles, word_hashes
 
-BITS = 128
+BITS = 256
+#: Bits in which a set may differ from a node's head to be of its core (similarity about 0.6), or a member (about 0.2).
+CORE, MEMBER = 52, 100
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
 @dataclass(frozen=True)
@@ -24,10 +27,10 @@ class Paths:
     """Shape of the forest. A pair at the threshold is missed by one tree with probability under 0.1, by all under 1e-5."""
 
     trees: int = 5
-    levels: int = 3
+    levels: int = 4
     branch: int = 2  # minwise tokens that a document follows at every node
     leaf: int = 16  # nodes of at most so many sets are compared exhaustively
-    block: int = 256  # block of the exhaustive comparison of what no level could split
+    block: int = 256  # side of the blocks in which larger groups are compared
 
 
 @lru_cache
@@ -36,8 +39,8 @@ def _functions(paths: Paths) -> tuple[np.ndarray, np.ndarray]:
     return draw[0] | np.uint32(1), draw[1]
 
 
-def sketch(found: np.ndarray, paths: Paths) -> tuple[int, int, np.ndarray]:
-    """A 128-bit sketch (one bit of each minhash) and the minwise tokens by tree, level and branch."""
+def sketch(found: np.ndarray, paths: Paths) -> tuple[np.ndarray, np.ndarray]:
+    """A 256-bit sketch (one bit of each minhash) and the minwise tokens by tree, level and branch."""
     a, b = _functions(paths)
     bits, heads, tails = None, [], []
     for at in range(0, len(found), 1 << 15):
@@ -56,7 +59,7 @@ def sketch(found: np.ndarray, paths: Paths) -> tuple[int, int, np.ndarray]:
     order = np.argsort(head, axis=1, kind="stable")[:, : paths.branch]
     tokens = np.take_along_axis(tail, order, 1)
     packed = np.packbits(((bits * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64)
-    return int(packed[0]), int(packed[1]), tokens.view(np.int32).ravel()
+    return packed, tokens.view(np.int32).ravel()
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -66,23 +69,21 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, paths: Paths) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_key (null without words), s0, s1, tokens of every row."""
+    """doc_id, text_hash, n_shingles, set_key (null without words), bits, tokens of every row."""
 
     def work(batches):
         for batch in batches:
-            n, keys, s0, s1, tokens = [], [], [], [], []
+            n, keys, bits, tokens = [], [], [], []
             for found in _sets(batch, k):
                 n.append(len(found))
-                if len(found):
-                    x, y, t = sketch(found, paths)
-                    keys.append(hashlib.md5(found.tobytes()).digest())
-                    s0.append(x), s1.append(y), tokens.append(t)
-                else:
-                    keys.append(None), s0.append(0), s1.append(0), tokens.append(np.zeros(0, np.int32))
+                x, t = sketch(found, paths) if len(found) else (np.zeros(BITS // 64, np.int64), np.zeros(0, np.int32))
+                keys.append(hashlib.md5(found.tobytes()).digest() if len(found) else None)
+                bits.append(x), tokens.append(t)
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(t) for t in tokens]))), pa.int32()), pa.array(np.concatenate([*tokens, np.zeros(0, np.int32)]), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), flat], ["doc_id", "text_hash", "n_shingles", "set_key", "s0", "s1", "tokens"])
+            wide = np.array(bits, np.int64).reshape(-1, BITS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), *[pa.array(c) for c in np.ascontiguousarray(wide.T)], flat], ["doc_id", "text_hash", "n_shingles", "set_key", *SKETCH, "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, "doc_id long, text_hash long, n_shingles long, set_key binary, s0 long, s1 long, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, f"doc_id long, text_hash long, n_shingles long, set_key binary, {', '.join(f'{c} long' for c in SKETCH)}, tokens array<int>")
 
 
 def whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -99,73 +100,143 @@ def whole_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(work, "set_key binary, shingles array<long>")
 
 
-def _close(left: str, right: str, bound: int) -> str:
-    """Sizes that allow the similarity, and sketches no farther apart than such a pair ever is."""
-    return f"100 * least({left}.n, {right}.n) >= {bound} * greatest({left}.n, {right}.n) AND bit_count({left}.s0 ^ {right}.s0) + bit_count({left}.s1 ^ {right}.s1) <= {_far(bound)}"
+def _apart(left: str, right: str) -> str:
+    return " + ".join(f"bit_count({left}.{c} ^ {right}.{c})" for c in SKETCH)
 
 
-def _far(bound: int) -> int:
-    """Bits in which a pair at the threshold differs, plus six standard deviations."""
+def _close(left: str, right: str, bound: int) -> str:
+    """Sizes that allow the similarity, and sketches no farther apart than such a pair is, plus six standard deviations."""
     p = (1 - bound / 100) / 2
-    return round(BITS * p + 6 * (BITS * p * (1 - p)) ** 0.5)
+    far = round(BITS * p + 6 * (BITS * p * (1 - p)) ** 0.5)
+    return f"100 * least({left}.n, {right}.n) >= {bound} * greatest({left}.n, {right}.n) AND {_apart(left, right)} <= {far}"
 
 
-def candidates(sets: DataFrame, bound: int, paths: Paths) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of set keys worth verifying, and what the deepest nodes above a leaf's size still hold.
+def candidates(sets: DataFrame, bound: int, paths: Paths) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) of set keys worth verifying; stars (head, key, core); and what the deepest nodes still hold.
 
     A node of at most paths.leaf sets is compared exhaustively. In a larger one every set is compared with the node's
-    first set and follows its next minwise tokens to the level below.
+    first set, its head. Sets like the head are its core and leave the recursion, since no choice of tokens would part
+    them: they are to be compared with all members, the sets that are at all like the head. All sets but the core
+    follow their next minwise tokens to the level below.
     """
-    me = F.struct(F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), "s0", "s1").alias("me")
+    me = F.struct(F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), *SKETCH).alias("me")
     per = paths.levels * paths.branch
     rows = sets.select(me, F.explode(F.expr(f"transform(sequence(0, {paths.trees - 1}), t -> struct(t AS tree, slice(tokens, t * {per} + 1, {per}) AS path))")).alias("p"))
     rows = rows.select("me", F.expr("p.path").alias("path"), F.explode(F.array_distinct(F.expr(f"slice(p.path, 1, {paths.branch})"))).alias("token"), F.expr("p.tree").alias("tree"))
     rows = rows.select(F.xxhash64("tree", "token").alias("node"), "me", F.slice("path", paths.branch + 1, per).alias("path"))
-    pairs = []
+    pairs, stars = [], []
     for level in range(1, paths.levels + 1):
         counted = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("me").alias("head")).where("size > 1")
-        met = staged(rows.join(counted, "node"), f"level{level}")
+        met = staged(rows.join(counted, "node").withColumn("apart", F.expr(_apart("head", "me"))), f"level{level}")
         leaf = met.where(F.col("size") <= paths.leaf).groupBy("node").agg(F.array_sort(F.collect_list("me")).alias("all"))
         inside = F.expr(f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, {paths.leaf}), y -> {_close('x', 'y', bound)}), y -> struct(x.key AS a, y.key AS b))))")
         pairs.append(leaf.select(F.explode(inside).alias("p")).select("p.a", "p.b"))
         large = met.where(F.col("size") > paths.leaf)
-        pairs.append(large.where("me.key <> head.key").where(_close("head", "me", bound)).select(F.col("head.key").alias("a"), F.col("me.key").alias("b")))
-        rows = large
-        if level < paths.levels:
-            rows = large.select("node", "me", "path", F.explode(F.array_distinct(F.slice("path", 1, paths.branch))).alias("token")).select(F.xxhash64("node", "token").alias("node"), "me", F.slice("path", paths.branch + 1, per).alias("path"))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionByName(p)
-    return every.distinct(), rows.select("node", "me", "size")
+        near = large.where((F.col("apart") <= MEMBER) & (F.col("me.key") != F.col("head.key")))
+        pairs.append(near.where(_close("head", "me", bound)).select(F.col("head.key").alias("a"), F.col("me.key").alias("b")))
+        stars.append(near.select(F.col("head.key").alias("head"), F.col("me.key").alias("key"), (F.col("apart") <= CORE).alias("core")))
+        rest = large.where((F.col("apart") > CORE) & (F.col("me.key") != F.col("head.key")))
+        rows = rest.select("node", "me", "path", F.explode(F.array_distinct(F.slice("path", 1, paths.branch))).alias("token")).select(F.xxhash64("node", "token").alias("node"), "me", F.slice("path", paths.branch + 1, per).alias("path"))
+    every, around = reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, stars)
+    return every.distinct(), around.groupBy("head", "key").agg(F.max("core").alias("core")), rest.select("node", "me", "size")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, bound: int) -> DataFrame:
-    """The pairs whose whole shingle sets satisfy 100 * intersection >= bound * union."""
-    pairs = staged(pairs, "pairs")
-    keys = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+def _sets_of(keys: DataFrame, docs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """set_key and shingles of the keys(set_key), computed again from one text of each."""
     rows = sets.join(keys, "set_key", "left_semi").select("rep").distinct()
-    whole = whole_sets(docs.select("doc_id", "text").join(rows, docs["doc_id"].cast("long") == rows["rep"], "left_semi"), k).dropDuplicates(["set_key"])
-    whole = staged(whole.join(keys, "set_key", "left_semi"), "sets")
+    whole = whole_sets(docs.select("doc_id", "text").join(rows, docs["doc_id"].cast("long").eqNullSafe(rows["rep"]), "left_semi"), k).dropDuplicates(["set_key"])
+    return staged(whole.join(keys, "set_key", "left_semi"), "sets")
+
+
+def within_stars(stars: DataFrame, links: DataFrame, whole: DataFrame, bound: int, paths: Paths) -> DataFrame:
+    """Links (a, b) that connect, within each star, what the links of its head don't connect yet.
+
+    Core sets meet all members of their star in blocks of paths.block a side, whole sets in hand. Sets linked to the
+    head are connected already and are not compared with each other. A block returns a spanning forest of its links.
+    """
+    tied = links.select(F.col("a").alias("head"), F.col("b").alias("key"), F.lit(True).alias("tied"))
+    known = staged(stars.join(tied, ["head", "key"], "left").select("head", "key", "core", F.coalesce("tied", F.lit(False)).alias("tied")), "stars")
+    open_ = known.groupBy("head").agg(
+        F.count("*").alias("size"), F.count(F.when(F.col("core") & ~F.col("tied"), 1)).alias("loose"), F.count(F.when(F.col("core"), 1)).alias("cores"), F.count(F.when(~F.col("core") & ~F.col("tied"), 1)).alias("fringe")
+    ).where("size > 1 AND (loose > 0 OR (cores > 0 AND fringe > 0))").select("head", F.ceil(F.col("size") / paths.block).cast("int").alias("blocks"), "fringe")
+    rows = known.join(open_, "head").join(whole.withColumnRenamed("set_key", "key"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.where("core AND (NOT tied OR fringe > 0)").select("head", F.col("block").alias("i"), spread.alias("j"), "key", "tied", "shingles")
+    right = rows.select(F.col("head").alias("y_head"), spread.alias("y_i"), F.col("block").alias("y_j"), F.col("key").alias("y_key"), F.col("tied").alias("y_tied"), F.col("core").alias("y_core"), F.col("shingles").alias("y_shingles"))
+
+    def meet(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        a: list = []
+        b: list = []
+        if len(xs) and len(ys):
+            keys, y_tied, y_core = ys["y_key"].to_pylist(), np.asarray(ys["y_tied"]), np.asarray(ys["y_core"])
+            flat = ys["y_shingles"].combine_chunks()
+            sizes = np.diff(np.asarray(flat.offsets))
+            owner = np.repeat(np.arange(len(keys)), sizes)
+            values, place = np.unique(np.asarray(flat.flatten()), return_inverse=True)
+            parent = {key: ("tied" if t else key) for key, t in zip(keys, y_tied, strict=True)}
+
+            def root(x):
+                while parent.setdefault(x, x) != x:
+                    x = parent[x]
+                return x
+
+            x_flat = xs["shingles"].combine_chunks()
+            at, x_values = np.asarray(x_flat.offsets), np.asarray(x_flat.flatten())
+            at = at - at[0]
+            for n, (key, tied_) in enumerate(zip(xs["key"].to_pylist(), xs["tied"].to_pylist(), strict=True)):
+                own = x_values[at[n] : at[n + 1]]
+                if tied_:
+                    parent[key] = "tied"
+                    wanted = ~y_tied & ~y_core
+                    if not wanted.any():
+                        continue
+                else:
+                    wanted = None
+                hit = np.zeros(len(values), bool)
+                where = np.searchsorted(values, own)
+                where[where == len(values)] = 0
+                hit[where[values[where] == own]] = True
+                both = np.bincount(owner, hit[place], len(keys))
+                like = 100 * both >= bound * (sizes + len(own) - both)
+                for m in np.flatnonzero(like if wanted is None else like & wanted).tolist():
+                    if (x := root(key)) != (y := root(keys[m])):
+                        parent[y if x == "tied" else x] = x if x == "tied" else y
+                        a.append(key), b.append(keys[m])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    met = left.groupBy("head", "i", "j").cogroup(right.groupBy("y_head", "y_i", "y_j")).applyInArrow(meet, "a binary, b binary")
+    return staged(met.where("a <> b"), "starlinks")
+
+
+def verified(pairs: DataFrame, whole: DataFrame, bound: int) -> DataFrame:
+    """The pairs whose whole shingle sets satisfy 100 * intersection >= bound * union."""
     met = pairs.join(whole.select(F.col("set_key").alias("a"), F.col("shingles").alias("sa")), "a").join(whole.select(F.col("set_key").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return staged(met.where(100 * both >= bound * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, paths: Paths = Paths()) -> DataFrame:  # noqa: B008
-    """Per row of docs: doc_id, text_hash, n_shingles, root, component_id, kept, links.
+    """Per row of docs: doc_id, text_hash, n_shingles, root, component_id, kept.
 
     A document's set holds its distinct k-word shingles (fewer words: the whole sequence as one). Rows with equal sets
     are one class and stand in the search once, however many they are; classes whose sets have a Jaccard similarity of
-    percent / 100 or more are linked; component_id is the smallest doc_id of the connected classes, kept tells whether
-    the row bears it, and links counts the other classes that its own class was compared with and linked to.
+    percent / 100 or more are linked; component_id is the smallest doc_id of the connected classes (root names them),
+    and kept tells whether the row bears it.
     Null, empty and blank texts have no set: n_shingles 0, linked with nothing, kept. A null doc_id takes part like
     any other row and is kept only where its whole component has null ids. Rows that repeat a doc_id are judged by
     their own texts. An empty table gives an empty result; other columns are not read.
     """
     own = staged(signatures(docs, k, paths), "signatures")
-    sets = staged(own.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("tokens").alias("tokens")), "classes")
-    found, deep = candidates(sets, percent, paths)
-    links = verified(found, docs, sets, k, percent)
+    sets = staged(own.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", *SKETCH, "tokens")]), "classes")
+    found, stars, deep = candidates(sets, percent, paths)
+    found, stars = staged(found, "pairs"), staged(stars, "stars")
+    whole = _sets_of(_ends(found).unionByName(stars.select(F.col("key").alias("set_key"))).distinct(), docs, sets, k)
+    links = verified(found, whole, percent)
+    links = links.unionByName(within_stars(stars, links, whole, percent, paths))
     roots = connected(links)
     deep = deep.join(roots.select(F.col("node").alias("key"), "root"), F.col("me.key") == F.col("key"), "left").select("node", "me", "size", F.coalesce("root", "me.key").alias("root"))
     mixed = deep.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
@@ -173,15 +244,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, paths: Paths
     if not rest.isEmpty():
         more = staged(_exhaustive(rest, percent, paths), "more")
         if not more.isEmpty():
-            links = staged(links.unionByName(verified(more, docs, sets, k, percent)).distinct(), "links")
+            links = links.unionByName(verified(more, _sets_of(_ends(more).distinct(), docs, sets, k), percent))
             roots = connected(links)
     sized = sets.select("set_key", "rep").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     low = sized.groupBy("root").agg(F.min("rep").alias("component_id"))
-    degree = links.select(F.col("a").alias("set_key")).unionByName(links.select(F.col("b").alias("set_key"))).groupBy("set_key").agg(F.count("*").alias("links"))
-    classes = staged(sized.join(low, "root").join(degree, "set_key", "left").select("set_key", "root", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "components")
+    classes = staged(sized.join(low, "root").select("set_key", "root", "component_id"), "components")
     named = own.select("doc_id", "text_hash", "n_shingles", "set_key")
-    filled = named.where("set_key IS NOT NULL").join(classes, "set_key").select("doc_id", "text_hash", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "links")
-    blank = named.where("set_key IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("set_key").alias("root"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("links"))
+    filled = named.where("set_key IS NOT NULL").join(classes, "set_key").select("doc_id", "text_hash", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    blank = named.where("set_key IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("set_key").alias("root"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return filled.unionByName(blank)
 
 
