@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import annforest, decontaminate, langid, licenses, linededup, masked_lm, neardup, pieces, toxicity
 from .common import table
 
@@ -125,7 +127,7 @@ def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
