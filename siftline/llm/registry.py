@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import annforest, decontaminate, langid, licenses, linededup, masked_lm, neardup, pieces, toxicity
+from . import annforest, decontaminate, langid, licenses, linededup, masked_lm, neardup, pieces, suffixdedup, toxicity
 from .common import table
 
 
@@ -81,6 +81,27 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, x, len(x) // 2 AS n FROM b),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS win FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM s WHERE n >= 50)),
+m AS (SELECT win, min(doc_id) AS lo FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT doc_id, i FROM w JOIN m USING (win) WHERE doc_id > lo),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 50 THEN 0 ELSE 1 END AS fresh FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY ALL),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+t AS (SELECT k.doc_id, sum(z - a) AS removed, count(*) AS spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS z FROM k JOIN s USING (doc_id) GROUP BY k.doc_id)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN t.doc_id IS NULL THEN s.x ELSE coalesce(t.kept, '') || substr(s.x, 2 * t.z + 1) END)) AS kept_sha256
+FROM s LEFT JOIN t USING (doc_id)
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.learn(docs.where(_fold("doc_id", 4) != 2), labels.where(_fold("doc_id", 4) != 2))
@@ -131,4 +152,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op9_license_scan": _op9_sql()}
+    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_suffix_array_dedup": OP6_SQL, "op9_license_scan": _op9_sql()}
