@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 TTL_MS = 45 * 60 * 1000
 
 
-def _serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, expire: bool) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -25,9 +25,15 @@ def _serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             seen.add(m)
         yield rows.assign(ctx=key[0], seen=flags)[["ctx", "call_seq", "path", "line_no", "seen"]]
     state.update((list(seen),))
-    state.setTimeoutDuration(TTL_MS)
+    if expire:
+        state.setTimeoutDuration(TTL_MS)
 
 
-def seen_lines(lines: DataFrame) -> DataFrame:
-    """A stream of (ctx, call_seq, path, line_no, hash) -> whether the context got that line before, within its lifetime."""
-    return lines.groupBy("ctx").applyInPandasWithState(_serve, "ctx string, call_seq long, path string, line_no long, seen boolean", "marks array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def seen_lines(lines: DataFrame, expire: bool = True) -> DataFrame:
+    """A stream of (ctx, call_seq, path, line_no, hash) -> whether the context got that line before.
+
+    With expire a context is forgotten TTL_MS after its last call; processing time then triggers batches without data.
+    """
+    serve = lambda key, batches, state: _serve(key, batches, state, expire)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return lines.groupBy("ctx").applyInPandasWithState(serve, "ctx string, call_seq long, path string, line_no long, seen boolean", "marks array<string>", "append", timeout)
