@@ -79,20 +79,17 @@ def _raw_scores(model: Model, ids: np.ndarray, values: np.ndarray, at: np.ndarra
     return sums[at[1:]] - sums[at[:-1]] + model.bias
 
 
-def telling(positive: list, unlabelled: list, least: int = 3, lift: float = 2.0) -> np.ndarray:
-    """Which features are worth weights: in at least `least` positives, and `lift` times as often there as elsewhere."""
-    p, u = (np.bincount(np.concatenate([*[r[0] for r in rows], np.zeros(0, np.int32)]), minlength=1 << BITS) for rows in (positive, unlabelled))
-    return (p >= least) & (p * len(unlabelled) >= lift * (u + 1) * len(positive))
+def telling(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, least: int = 3, lift: float = 2.0) -> np.ndarray:
+    """Which features are worth weights: in at least `least` of n_p positives, and `lift` times as often as elsewhere."""
+    return (p >= least) & (p * n_u >= lift * (u + 1) * n_p)
 
 
 def fit(positive: list, unlabelled: list, prior: float, rounds: int = 30, rate: float = 0.05, decay: float = 3e-4, seed: int = 5) -> Model:
-    """Adam on prior * R_p+ + max(0, R_u- - prior * R_p-) with the logistic loss over the presence of telling features;
+    """Adam on prior * R_p+ + max(0, R_u- - prior * R_p-) with the logistic loss over the presence of features;
     where the corrected negative part falls below zero its gradient is followed the other way, as the non-negative
     estimator asks. Each entry is (ids, values). Without either kind of example every score is near 0."""
     if not positive or not unlabelled:
         return Model(np.zeros(1 << BITS, np.float32), -8.0)
-    keep = telling(positive, unlabelled)
-    positive, unlabelled = ([(ids[keep[ids]], values[keep[ids]]) for ids, values in rows] for rows in (positive, unlabelled))
     prior = min(max(prior, 1e-4), 0.5)
     rng = np.random.default_rng(seed)
     w, bias, m, v = np.zeros(1 << BITS), np.log(prior / (1 - prior)), np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
@@ -136,10 +133,29 @@ def _part(rows: DataFrame, bound: int) -> DataFrame:
     return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < round(share * (1 << 20)))
 
 
-def _features(rows: DataFrame) -> list:
+def _counts(rows: DataFrame) -> np.ndarray:
+    """In how many of the rows each feature occurs; summed in the tasks, so the driver gets 2 ** BITS numbers at most."""
+
+    def work(batches):
+        total = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for ids, _ in text_features(*buffers(batch.column(0))):
+                total[ids] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
+
+    got = rows.select("text").mapInArrow(work, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << BITS, np.int64)
+    out[np.asarray(got["id"])] = np.asarray(got["n"])
+    return out
+
+
+def _features(rows: DataFrame, keep: np.ndarray) -> list:
+    """(ids, ones) of every row, of the kept features alone."""
+
     def work(batches):
         for batch in batches:
-            found = [ids for ids, _ in text_features(*buffers(batch.column(0)))]
+            found = [ids[keep[ids]] for ids, _ in text_features(*buffers(batch.column(0)))]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32)))], ["ids"])
 
@@ -153,8 +169,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mode
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     prior = known.agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first().prior or 0.0
-    positive = _features(rows.join(_part(known.where("toxic = 1"), sample.positives), "doc_id", "left_semi"))
-    return fit(positive, _features(_part(rows, sample.unlabelled)), prior)
+    positive, unlabelled = rows.join(_part(known.where("toxic = 1"), sample.positives), "doc_id", "left_semi"), _part(rows, sample.unlabelled)
+    keep = telling(_counts(positive), _counts(unlabelled), positive.count(), unlabelled.count())
+    return fit(_features(positive, keep), _features(unlabelled, keep), prior)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
