@@ -142,6 +142,11 @@ def repeated_places(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                     ], ["known", "k", "h", "d", "p", "shared"])
 
     def meet(group: pa.Table) -> pa.Table:
+        known = np.asarray(group["known"]) == 1
+        done = group.filter(pa.array(known)).select(["k", "p"])
+        group = group.filter(pa.array(~known))
+        if not len(group):
+            return done
         col = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
         h, d, p = col("h", np.uint32), col("d", np.int64), col("p", np.uint32)
         shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[: len(y) // 4] for x, y in zip(group["shared"].to_pylist(), group["h"].to_pylist(), strict=True)]).astype(bool)
@@ -154,12 +159,12 @@ def repeated_places(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         d, p = d[order], p[order]
         edge = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, np.int64)
         stop = np.append(edge[1:], len(d))[: len(edge)]
-        return pa.table({"k": pa.array(d[edge], pa.int64()), "p": pa.array([p[x:y].tobytes() for x, y in zip(edge, stop, strict=True)], pa.binary())})
+        own = pa.table({"k": pa.array(d[edge], pa.int64()), "p": pa.array([p[x:y].tobytes() for x, y in zip(edge, stop, strict=True)], pa.binary())})
+        return pa.concat_tables([done, own]) if len(done) else own
 
-    sent = staged(docs.select("k", "text").mapInArrow(pick, "known int, k long, h binary, d binary, p binary, shared binary"), "fingerprints")
-    own = sent.where("known = 1").select("k", "p")
-    other = sent.where("known = 0").drop("known").withColumnRenamed("k", "bucket").groupBy("bucket").applyInArrow(meet, "k long, p binary")
-    return staged(own.unionByName(other).groupBy("k").agg(F.collect_list("p").alias("places")), "places")
+    sent = docs.select("k", "text").mapInArrow(pick, "known int, k long, h binary, d binary, p binary, shared binary")
+    met = sent.withColumn("bucket", F.when(F.col("known") == 1, F.pmod(F.xxhash64("k"), F.lit(buckets))).otherwise(F.col("k")).cast("long"))
+    return staged(met.groupBy("bucket").applyInArrow(meet, "k long, p binary").groupBy("k").agg(F.collect_list("p").alias("places")), "places")
 
 
 def segments(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
@@ -261,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     buckets = max(32, total >> 24)
     long = base.where(F.octet_length("text") >= length)
-    cut = staged(segments(long.select("k", "text_hash", "text"), repeated_places(long, length, buckets), length).distinct(), "segments")
+    cut = staged(segments(long.select("k", "text_hash", "text"), repeated_places(long, length, buckets), length), "segments")
     distinct = staged(cut.groupBy("mark", "seg").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.first("body").alias("body")), "distinct")
     windows = staged(earlier_windows(distinct, length, buckets), "windows")
     lows = distinct.select("seg", "low", "high").join(windows, "seg", "left").where("low < high OR offsets IS NOT NULL")
