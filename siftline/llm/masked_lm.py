@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import buffers, mix, word_hashes
+from .kernels import buffers, mix, runs, word_hashes
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,7 @@ class Shape:
     sides: tuple[int, ...] = (-2, -1, 1, 2)
     mask: float = 0.15  # share of the tokens of every text that training predicts
     rate: float = 0.1
+    vocabulary: int = 400_000  # distinct words these classes are meant for; see grown()
 
     @property
     def classes(self) -> int:
@@ -29,16 +30,23 @@ class Shape:
     def size(self) -> int:
         return len(self.sides) * self.classes * self.width + self.width * self.classes + self.classes
 
+    def grown(self, distinct: int) -> Shape:
+        """Words and buckets for a corpus of so many distinct words: more by the cube root of what exceeds vocabulary."""
+        factor = max(1.0, distinct / self.vocabulary) ** (1 / 3)
+        return replace(self, words=round(self.words * factor), buckets=round(self.buckets * factor))
+
 
 @dataclass(frozen=True)
 class Language:
-    """Corpus counts (frequent word hashes, sorted, with their classes; distinct other words by bucket) and the network."""
+    """Corpus counts (frequent word hashes, sorted, with their classes; tokens of other words by bucket; n of every word
+    as a table) and the network."""
 
     shape: Shape
     hashes: np.ndarray
     ranks: np.ndarray
-    spread: np.ndarray
+    totals: np.ndarray
     params: np.ndarray
+    counts: DataFrame | None = None  # not sent to tasks
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -117,22 +125,24 @@ def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
     """Corpus counts of all words, then the network: every task trains a replica on the masked tokens of all its texts,
     and the replicas' parameters are averaged, weighted by their tokens, in a shuffle by parameter.
 
-    The driver gets the frequent words, one count for each bucket and one averaged network, whatever the corpus' size.
+    The classes grow with the vocabulary. The driver gets the frequent words, one count for each bucket and one averaged
+    network; the counts of all words stay a table, which score() joins.
     """
     from .common import staged
 
     counts = staged(word_counts(docs), "words")
+    shape = shape.grown(counts.count())
     top = counts.orderBy(F.desc("n"), "word").limit(shape.words).collect()
     hashes = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     bucket = F.expr(f"CAST(pmod(CAST(word AS DECIMAL(20,0)) + IF(word < 0, CAST('18446744073709551616' AS DECIMAL(20,0)), 0), {shape.buckets}) AS INT)")
-    spread = np.ones(shape.buckets)
-    rows = counts.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()
+    totals = np.zeros(shape.buckets)
+    rows = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()
     for r in rows:
-        spread[r.bucket] = r.n
-    for h in hashes:
-        spread[int(h % np.uint64(shape.buckets))] -= 1
-    language = Language(shape, hashes[order], order.astype(np.int32), np.maximum(spread, 1), np.zeros(0, np.float32))
+        totals[r.bucket] = r.n
+    for r, h in zip(top, hashes, strict=True):
+        totals[int(h % np.uint64(shape.buckets))] -= r.n
+    language = Language(shape, hashes[order], order.astype(np.int32), totals, np.zeros(0, np.float32))
 
     def train(batches):
         params, sums, seen = _start(shape), np.zeros(shape.size, np.float32), 0
@@ -155,31 +165,47 @@ def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
     mean = docs.select("text").mapInArrow(train, "at long, x double, w double").groupBy("at").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
     params = _start(shape)
     params[mean["at"].to_numpy()] = mean["x"].to_numpy()
-    return Language(shape, language.hashes, language.ranks, language.spread, params)
+    return replace(language, params=params, counts=counts)
 
 
 def score(docs: DataFrame, language: Language) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (summed over all tokens, each given both its sides) and score (per token).
 
-    A word outside the frequent ones gets its bucket's probability shared evenly among the bucket's distinct words.
-    Null and blank texts have no tokens: 0 and a null score. Rows are scored one by one; other columns are not read.
+    A word outside the frequent ones gets its bucket's probability times its own share of the bucket's tokens in the
+    corpus, n / (all + 1); the 1 left over is for words the corpus lacks. These shares depend only on how often a row has
+    a word, so rows' distinct words are joined with the counts. Null and blank texts have no tokens: 0 and a null score.
+    Rows are scored one by one; other columns are not read.
     """
-    s = language.shape
+    s, counts = language.shape, language.counts
+    language = replace(language, counts=None)
+    names = ["row", "doc_id", "n_tokens", "known", "word", "times"]
 
     def work(batches):
-        share = np.concatenate([np.zeros(s.words), -np.log(language.spread), np.zeros(1)])
+        share = np.concatenate([np.zeros(s.words), -np.log(language.totals + 1), np.zeros(1)])
         for batch in batches:
-            words, at = word_hashes(*buffers(batch.column(1)))
+            ids = batch.column(0).to_numpy()
+            words, at = word_hashes(*buffers(batch.column(2)))
             classes = _classes(words, language)
             context = _context(classes, at, s)
             each = np.empty(len(words))
-            for i in range(0, len(words), 4096):
-                _, z, norm = _forward(language.params, s, context[:, i : i + 4096])
-                own = classes[i : i + 4096]
-                each[i : i + 4096] = z[np.arange(len(own)), own] - norm[:, 0] + share[own]
+            for i in range(0, len(words), 2048):
+                _, z, norm = _forward(language.params, s, context[:, i : i + 2048])
+                own = classes[i : i + 2048]
+                each[i : i + 2048] = z[np.arange(len(own)), own] - norm[:, 0] + share[own]
             sums = np.concatenate(([0.0], np.cumsum(each)))
             total, n = sums[at[1:]] - sums[at[:-1]], np.diff(at)
-            mean = np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(mean, mask=n == 0)], ["doc_id", "n_tokens", "log_likelihood", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_tokens long, log_likelihood double, score double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), batch.column(0), pa.array(np.zeros(len(n), np.int64))], names)
+            for first, last in runs(at, 1 << 18):
+                rest = np.flatnonzero(classes[at[first] : at[last]] >= s.words) + at[first]
+                doc = np.searchsorted(at, rest, side="right") - 1
+                order = np.lexsort((words[rest], doc))
+                doc, own = doc[order], words[rest][order]
+                edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])))[: len(own)])
+                none = pa.nulls(len(edge), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[edge]]), none, none, none.cast(pa.float64()), pa.array(own[edge].view(np.int64)), pa.array(np.diff(np.append(edge, len(own))))], names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = rows.mapInArrow(work, "row long, doc_id long, n_tokens long, known double, word long, times long").join(counts, "word", "left")
+    own = F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)).cast("double")))
+    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("known") + own).alias("log_likelihood"))
+    return summed.select("doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("score"))

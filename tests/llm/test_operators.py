@@ -282,6 +282,22 @@ def test_masked_lm_prefers_what_it_knows(spark):
     assert masked_lm.score(docs.limit(0), masked_lm.learn(docs.limit(0))).count() == 0
 
 
+def test_masked_lm_scores_words_by_their_own_counts(spark):
+    rows = [(i, "a b a b " * 20 + ("x " * 6 + "y y ") * 2) for i in range(10)]
+    docs, asked = frame(spark, rows), frame(spark, [(1, "x"), (2, "y"), (3, "unseen"), (4, "x y x"), (5, "y x x"), (None, "x"), (1, "x")])
+    learned = masked_lm.learn(docs, masked_lm.Shape(words=2, buckets=1, width=4))
+    got = [(r.doc_id, r.score, r.n_tokens) for r in masked_lm.score(asked, learned).collect()]
+    one = {i: x for i, x, _ in got}
+    assert len(got) == 7 and one[1] - one[2] == pytest.approx(np.log(120 / 40)) and one[2] - one[3] == pytest.approx(np.log(40))
+    assert [x for i, x, _ in got if i in (1, None)] == pytest.approx([one[1]] * 3) and one[4] == pytest.approx(one[5])
+
+
+def test_masked_lm_classes_grow_with_the_vocabulary(spark):
+    shape = masked_lm.Shape(words=4, buckets=2, width=4, vocabulary=10)
+    sizes = [masked_lm.learn(frame(spark, [(1, " ".join(f"w{i}" for i in range(n)))]), shape).shape.classes for n in (10, 80, 640)]
+    assert sizes == [7, 13, 25]
+
+
 def test_masked_lm_gradient():
     s = masked_lm.Shape(words=3, buckets=2, width=4)
     rng = np.random.default_rng(0)
