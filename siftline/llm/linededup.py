@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
 #: A run of at least so many consecutive non-blank lines counts as repeated.
 RUN = 3
+#: So do fewer lines that have so many words or, as in scripts without spaces, characters.
+WORDS = 50
+CHARS = 300
+
+
+def _solid() -> Column:
+    """The non-blank lines of a text: raw numbers and trimmed lines."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    return F.filter(F.transform(split, lambda x, i: F.struct(i.alias("no"), F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")).alias("line"))), lambda x: x.line != "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and the non-blank lines as arrays: raw line numbers and hashes of the trimmed lines."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    solid = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("no"), F.trim(F.regexp_replace(x, r"[\t\r\x0B\f]", " ")).alias("line"))), lambda x: x.line != "")
-    hashed = F.transform(solid, lambda x: F.struct(x.no.alias("no"), F.xxhash64(x.line).alias("hash")))
+    hashed = F.transform(_solid(), lambda x: F.struct(x.no.alias("no"), F.xxhash64(x.line).alias("hash")))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), hashed.alias("lines"))
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text_hash, gone): raw numbers of the lines inside a run of `run` lines that occurs earlier.
+def _place() -> Column:
+    return F.struct("doc_id", "text_hash", F.col("w.start").alias("start")).alias("place")
+
+
+def _run(hashes) -> Column:
+    return F.struct(F.xxhash64(hashes).alias("x"), F.xxhash64(F.lit(7), hashes).alias("y")).alias("run")
+
+
+def _long_windows(docs: DataFrame, run: int, words: int, chars: int) -> DataFrame:
+    """(run, place, nos) of every 1 to run - 1 consecutive non-blank lines that have the words or characters; these are few."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), _solid().alias("solid"))
+    sized = F.transform("solid", lambda x: F.struct(x.no.alias("no"), F.xxhash64(x.line).alias("hash"), F.regexp_count(x.line, F.lit(r"\S+")).alias("words"), F.length(x.line).alias("chars")))
+    sized = lines.select("doc_id", "text_hash", sized.alias("lines"))
+
+    def windows(n: int):
+        part = lambda s: F.slice("lines", s + 1, F.lit(n))
+        total = lambda s, what: F.aggregate(part(s), F.lit(0), lambda a, x: a + x[what])
+        starts = F.slice(F.sequence(F.lit(0), F.size("lines")), F.lit(1), F.greatest(F.size("lines") - (n - 1), F.lit(0)))
+        enough = F.filter(starts, lambda s: (total(s, "words") >= words) | (total(s, "chars") >= chars))
+        return F.transform(enough, lambda s: F.struct(s.alias("start"), part(s).alias("lines")))
+
+    found = sized.select("doc_id", "text_hash", F.explode(F.concat(*[windows(n) for n in range(1, run)])).alias("w"))
+    return found.select(_run(F.transform("w.lines", lambda x: x.hash)), _place(), F.transform("w.lines", lambda x: x.no).alias("nos"))
+
+
+def repeated_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: int = CHARS) -> DataFrame:
+    """(doc_id, text_hash, gone): raw numbers of the lines inside a run of `run` lines that occurs earlier, or of fewer
+    lines if they have at least `words` words or `chars` characters together.
 
     Earlier means in a smaller (doc_id, text_hash), null ids first, or higher up in the same text. Of every `run` consecutive
     line hashes the minimum (the last of equal ones) is a fingerprint, so any two copies of a run share one; only
@@ -42,24 +75,24 @@ def repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
         "doc_id", "text_hash", F.explode(F.transform(F.sequence(F.lit(0), F.size("near") - run), lambda s: F.struct((s + F.col("first")).alias("start"), F.slice("near", s + 1, F.lit(run)).alias("lines")))).alias("w")
     )
     run_hashes = F.transform("w.lines", lambda x: x.hash)
-    windows = staged(around.select(
-        F.struct(F.xxhash64(run_hashes).alias("x"), F.xxhash64(F.lit(7), run_hashes).alias("y")).alias("run"),
-        F.struct("doc_id", "text_hash", F.col("w.start").alias("start")).alias("place"), F.transform("w.lines", lambda x: x.no).alias("nos"),
-    ).distinct(), "runs")
+    windows = around.select(_run(run_hashes), _place(), F.transform("w.lines", lambda x: x.no).alias("nos"))
+    if run > 1:
+        windows = windows.unionByName(_long_windows(docs, run, words, chars))
+    windows = staged(windows.distinct(), "runs")
     first = windows.groupBy("run").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("run", "first")
     later = windows.join(first, "run").where("place > first")
     return later.select("place.doc_id", "place.text_hash", F.explode("nos").alias("no")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: int = CHARS) -> DataFrame:
     """docs with the columns n_lines and n_removed_lines added and text without repeated runs.
 
-    Blank lines take no part in a run and stay. A run must be `run` non-blank lines long; lines are compared without
-    white space at their ends. Null texts stay null; empty texts have one blank line. Rows that repeat doc_id and text
+    Blank lines take no part in a run and stay. A run must be `run` non-blank lines long, or have `words` words or
+    `chars` characters; lines are compared without white space at their ends. Null texts stay null; empty texts have one blank line. Rows that repeat doc_id and text
     are one document: none of them is an earlier copy of the other, and all lose the same lines. Other columns,
     whatever they are called, are kept.
     """
-    gone = repeated_lines(docs, run).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "gone")
+    gone = repeated_lines(docs, run, words, chars).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "gone")
     rows = docs.withColumn("_own_hash", F.xxhash64("text"))
     same = rows["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (rows["_own_hash"] == gone["_gone_hash"])
     split = F.split("text", "\n")

@@ -140,6 +140,36 @@ def test_line_dedup_matches_brute_force(spark, run):
     assert got == {i: (t, 7) for (i, _), t in zip(rows, brute_lines(rows, run), strict=True)}
 
 
+def brute_long_lines(rows, run, words, chars):
+    seen, out = set(), {}
+    for i, t in rows:
+        lines = t.split("\n")
+        solid = [(n, x.strip()) for n, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for s in range(len(solid)):
+            for size in range(1, run + 1):
+                part = solid[s : s + size]
+                key = tuple(x for _, x in part)
+                if len(part) == size and (size == run or len(" ".join(key).split()) >= words or sum(map(len, key)) >= chars):
+                    gone |= {n for n, _ in part} if key in seen else set()
+                    seen.add(key)
+        out[i] = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+    return out
+
+
+def test_line_dedup_takes_few_long_lines(spark):
+    long, half, short = prose(random.Random(1), 60), prose(random.Random(2), 30), prose(random.Random(3), 20)
+    texts = [long, f"a\n{long} \nb", f"c\n{half}\n\n{half}x\nd", f"e\n{half}\n{half}x", f"f\n{short}", f"g\n{short}\nh", "字" * 300, "i\n" + "字" * 300, f"{long}\n{long}\nk"]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in (1, 3, 5, 7, 8)] == ["a\nb", "e", texts[5], "i", "k"]
+    rng = random.Random(4)
+    lines = [prose(rng, n) for n in (4, 9, 9, 15, 26, 27, 60)] + ["", "x"]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 7)))) for i in range(60)]
+    for run, words in ((3, 50), (4, 12)):
+        got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, rows), run, words=words).collect()}
+        assert got == brute_long_lines(rows, run, words, 300)
+
+
 def test_line_dedup_empty(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
