@@ -408,7 +408,7 @@ def language_detect(t) -> DataFrame:
 @query(f"""WITH w AS (SELECT doc_id, unnest({_TOK}) AS w FROM documents), v AS (SELECT DISTINCT w FROM w), h AS (SELECT w, list_reduce(list_prepend(2166136261::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(w, '')]), lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT) AS h FROM v),
 b AS (SELECT doc_id, CAST(h % 384 AS INTEGER) AS bucket, CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END AS sign FROM w JOIN h USING (w)) SELECT doc_id, bucket, CAST(sum(sign) AS BIGINT) AS weight FROM b WHERE doc_id % 10 = 3 GROUP BY ALL""")
 def hash_features(t) -> DataFrame:
-    words = t("documents").where("doc_id % 10 = 3").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
+    words = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     hashed = words.select("w").distinct().withColumn("h", T.fnv1a(F.col("w")))
     sign = F.when(F.col("h") >= 2147483648, -1).otherwise(1)
     return words.join(hashed, "w").groupBy("doc_id", (F.col("h") % 384).cast("int").alias("bucket")).agg(F.sum(F.col("n") * sign).alias("weight"))

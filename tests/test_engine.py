@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -11,6 +12,7 @@ import __spark_entry__ as entry
 from siftline.functions import paths as P
 from siftline.functions import text as T
 from siftline.operators import chunks, embed, evaluate, intent, search, select, store, structure
+from siftline.plans import catalogue
 from siftline.sources import repo, snapshots
 from siftline.streaming import ledger, watch
 
@@ -179,3 +181,21 @@ def test_every_query_has_a_stable_schema(spark):
     assert set(entry.oracle_sql()) <= set(known) and entry.entry(spark).columns
     for name in ("scan_project", "bm25_topk", "hash_diff", "near_duplicates", "greedy_pack"):
         assert known[name](spark, DATA).count() >= 0
+
+
+def brute_features(rows):
+    out = {}
+    for i, text in rows:
+        for w in re.findall("[a-z0-9_]{3,}", text.lower()):
+            h = 2166136261
+            for c in w.encode():
+                h = (h ^ c) * 16777619 % (1 << 32)
+            out[i, h % 384] = out.get((i, h % 384), 0) + (-1 if h >= 1 << 31 else 1)
+    return out
+
+
+def test_hash_features_of_every_document(spark):
+    rows = [(i, f"Alpha beta_{i} gamma alpha x") for i in range(12)] + [(13, ""), (23, "one ONE two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.bucket): r.weight for r in catalogue.hash_features(lambda name: docs).collect()}
+    assert got == brute_features(rows)
