@@ -199,3 +199,29 @@ def test_hash_features_of_every_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.bucket): r.weight for r in catalogue.hash_features(lambda name: docs).collect()}
     assert got == brute_features(rows)
+
+
+def test_searches_ask_every_item_and_name(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, f"word{i} word{i + 1} common") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"word{i} word{i + 1} common") for i in range(12)], "item_id long, text string")
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(3)]) for i in range(301)], "vec_id long, embedding array<float>")
+    t = {"documents": docs, "benchmark": items, "embeddings": vectors}.get
+    for f, c in ((catalogue.bm25_topk, "query_id"), (catalogue.bm25_normalised, "query_id"), (catalogue.facet_idf_relevance, "facet"), (catalogue.coverage_report, "facet")):
+        assert {r[c] for r in f(t).collect()} == set(range(12))
+    for f, k in ((catalogue.vector_topk, 20), (catalogue.vector_topk_batch, 10)):
+        assert sorted(r.query_id for r in f(t).collect()) == sorted([0, 100, 200, 300] * k)
+
+
+def test_symbol_lookup_matches_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice(("ab", "c", "red ", "part ")) for _ in range(rng.randrange(8)))) for i in range(120)] + [(500, "x"), (501, "yz"), (502, None)]
+    names = [x for _, x in rows if x is not None]
+    want = set()
+    for name in {*names, *(x[:-1] for x in names)}:
+        hits = sorted(i for i, x in rows if x == name)
+        exact = bool(hits)
+        hits = hits or sorted(i for i, x in rows if x is not None and name in x)
+        want |= {(name, i, exact) for i in hits[:20]}
+    parts = spark.createDataFrame(rows, "p_partkey long, p_name string")
+    assert {tuple(r) for r in catalogue.symbol_lookup(lambda name: parts).collect()} == want
