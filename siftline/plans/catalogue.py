@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import evaluate, search, store
+from ..sources.repo import MAX_BYTES
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -46,7 +47,7 @@ SECRET = r"(?i)(api[_-]?key|secret|token|password)\s*[=:]\s*[\"'][^\"']{8,}"
 @query(rf"SELECT doc_id, n_chars FROM documents WHERE length(text) <= 20000 AND instr(text, chr(0)) = 0 AND NOT regexp_matches(text, '{SECRET.replace(chr(39), chr(39) * 2)}')")
 def admission_filter(t) -> DataFrame:
     text = F.col("text")
-    return t("documents").where((F.length(text) <= 20000) & (F.instr(text, "\0") == 0) & ~text.rlike(SECRET)).select("doc_id", "n_chars")
+    return t("documents").where((F.octet_length(text) <= MAX_BYTES) & (F.instr(text, "\0") == 0) & ~text.rlike(SECRET)).select("doc_id", "n_chars")
 
 
 @query("""SELECT 'eq' AS pred, count(*) AS n FROM part WHERE p_brand = 'Brand#12' UNION ALL SELECT 'in', count(*) FROM part WHERE p_size IN (1, 2, 3) UNION ALL

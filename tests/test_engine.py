@@ -225,3 +225,10 @@ def test_symbol_lookup_matches_brute_force(spark):
         want |= {(name, i, exact) for i in hits[:20]}
     parts = spark.createDataFrame(rows, "p_partkey long, p_name string")
     assert {tuple(r) for r in catalogue.symbol_lookup(lambda name: parts).collect()} == want
+
+
+def test_admission_keeps_texts_up_to_two_mebibytes(spark):
+    sizes = {1: 20_001, 2: 2 << 20, 3: (2 << 20) + 1}
+    rows = [(i, "a" * n, n) for i, n in sizes.items()] + [(4, "é" * (1 << 20), 1 << 20), (5, "é" * (1 << 20) + "a", (1 << 20) + 1), (6, "a\0b", 3), (7, "token = 'abcdefgh1'", 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert sorted(r.doc_id for r in catalogue.admission_filter(lambda name: docs).collect()) == [1, 2, 4]
