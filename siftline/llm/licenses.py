@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,20 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Whole texts of the common licences, and notices of those that TEMPLATES lacks; license_texts holds the long ones.
+FULL = (
+    ("MIT", TEMPLATES[4][1] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", TEMPLATES[5][1] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", _CLAUSES + _DISCLAIMER),
+    ("BSD-3-Clause", _CLAUSES + _NAMES + _DISCLAIMER),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+) + tuple((p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt")))
 THRESHOLD = 0.8
 _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[97:123] = _BREAK[128:] = False
@@ -44,24 +59,62 @@ def _bigrams(words: np.ndarray) -> np.ndarray:
 
 
 @lru_cache
-def _templates(templates: tuple) -> tuple[list[tuple[str, frozenset]], np.ndarray]:
-    sets = [(name, frozenset(np.unique(_bigrams(_words(_LOWER[np.frombuffer(text.encode(), np.uint8)])[2])).tolist())) for name, text in templates]
-    return sets, np.unique(np.array([x for _, s in sets for x in s], np.uint64))
-
-
-def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _templates(templates: tuple) -> tuple[list[tuple[str, frozenset, int]], np.ndarray, np.ndarray, list[list[int]]]:
+    """Names, bigrams and numbers of words; all bigrams; which template has which; templates that have all of one's and more."""
+    words = [_words(_LOWER[np.frombuffer(text.encode(), np.uint8)])[2] for _, text in templates]
+    sets = [(name, frozenset(np.unique(_bigrams(w)).tolist()), len(w)) for (name, _), w in zip(templates, words, strict=True)]
+    known = np.unique(np.array([x for _, s, _ in sets for x in s], np.uint64))
+    member = np.zeros((len(sets), len(known)), bool)
+    for k, (_, s, _) in enumerate(sets):
+        member[k, np.searchsorted(known, np.array(list(s), np.uint64))] = True
+    return sets, known, member, [[j for j, (other, b, _) in enumerate(sets) if other != name and s < b] for name, s, _ in sets]
+
+
+def _windows(grams: np.ndarray, own: np.ndarray, doc: np.ndarray, n_grams: int, n_words: int, threshold: float):
+    """(text, Dice, first and last word) of the best window of every text in which one reaches the threshold.
+
+    own holds the places of a template's bigrams. A window starts and ends on one of them, as the best do, and has as many
+    words as the Dice bound allows a text without repeats. Only starts are tried that have enough of them within that size.
+    """
+    need = max(1, int(np.ceil(n_grams * threshold / (2 - threshold) - 1e-9)))
+    longest = int((n_words - 1) * (2 - threshold) / threshold + 1e-9)
+    best: dict[int, tuple] = {}
+    if len(own) < need:
+        return best
+    near = own[need - 1 :] - own[: len(own) - need + 1] < longest
+    near &= doc[own[need - 1 :]] == doc[own[: len(own) - need + 1]]
+    for i in np.flatnonzero(near).tolist():
+        start = int(own[i])
+        d = int(doc[start])
+        if d in best and best[d][0] == 1:
+            continue
+        stop = int(np.searchsorted(own, start + longest))
+        last = own[i:stop]
+        last = last[doc[last] == d] - start
+        fresh = np.zeros(int(last[-1]) + 1, np.int64)
+        fresh[np.unique(grams[start : start + len(fresh)], return_index=True)[1]] = 1
+        hit = np.zeros(len(fresh), np.int64)
+        hit[last] = fresh[last]
+        dice = 2 * np.cumsum(hit) / (np.cumsum(fresh) + n_grams)
+        at = int(np.argmax(dice))
+        if dice[at] >= threshold and (d not in best or dice[at] > best[d][0]):
+            best[d] = float(dice[at]), start, start + at + 1
+    return best
+
+
+def scan(docs: DataFrame, templates: tuple = TEMPLATES + FULL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice and n_units of every row.
 
     Units of a text are its lines, its paragraphs (lines without words part them) and the whole; words are runs of letters and
-    digits with A-Z lower-cased. A template is compared with a unit only if their numbers of distinct bigrams allow the
-    threshold. license is the template with the best Dice of all units (ties: the first name), null where none reaches the threshold;
-    n_units counts the different word sequences of the units that do. Null and empty texts have no units. Rows are scanned one by one.
+    digits with A-Z lower-cased. Every template is compared with the units and with all windows of words, wherever they
+    begin, of the sizes that the threshold allows. license is the template with the best Dice of all of these (ties: the first
+    name), null where none reaches the threshold; a template that is part of another licence's counts only where that one
+    does not reach it. n_units counts the different word sequences of the units that do, and is 1 where only a window does.
+    Null and empty texts have no units. Rows are scanned one by one.
     """
 
     def work(batches):
-        sets, known = _templates(templates)
-        least = min(len(s) for _, s in sets) * threshold / (2 - threshold)
-        most = max(len(s) for _, s in sets) * (2 - threshold) / threshold
+        sets, known, member, owners = _templates(templates)
         for batch in batches:
             raw, at = buffers(batch.column(1))
             names, dices, units = [None] * len(batch), [None] * len(batch), [0] * len(batch)
@@ -88,25 +141,37 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
                 prior[1:] = line[1:] - line[:-1]
                 filled = np.zeros(len(starts), bool)
                 filled[1:] = prior[1:] > 1
+                whole = np.zeros(len(starts), np.int64)
+                hits = np.flatnonzero(hit & (doc[1:] == doc[:-1]))
+                holds = member[:, where[hits]]
                 seen: dict[int, set] = {}
-                for kind in (line, np.cumsum(filled), np.zeros(len(starts), np.int64)):
-                    edge = np.flatnonzero((np.diff(kind, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+                best: dict[int, dict[int, float]] = {}
+                for kind in (line, np.cumsum(filled), whole):
+                    change = (np.diff(kind, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
+                    edge = np.flatnonzero(change)
                     stop = np.append(edge[1:], len(words))
-                    count = np.concatenate(([0], np.cumsum(hit)))
-                    hits = count[np.maximum(stop - 1, edge)] - count[edge]
-                    for u in np.flatnonzero((hits >= least) & (stop - edge > 1)).tolist():
-                        own = frozenset(np.unique(grams[edge[u] : stop[u] - 1]).tolist())
-                        if len(own) > most:
-                            continue
-                        fits = [(-2 * len(own & s) / (len(own) + len(s)), name) for name, s in sets if 2 * min(len(own), len(s)) >= threshold * (len(own) + len(s))]
-                        negative, name = min(fits, default=(0.0, ""))
-                        if -negative >= threshold:
-                            d = first + int(doc[edge[u]])
-                            seen.setdefault(d, set()).add(words[edge[u] : stop[u]].tobytes())
-                            if dices[d] is None or (negative, name) < (-dices[d], names[d]):
-                                names[d], dices[d] = name, -negative
-                for d, found in seen.items():
-                    units[d] = len(found)
+                    unit = np.cumsum(change) - 1
+                    inside = unit[hits] == unit[hits + 1]
+                    sized: dict[int, frozenset] = {}
+                    for k, (_, s, _) in enumerate(sets):
+                        ids, n = np.unique(unit[hits[holds[k] & inside]], return_counts=True)
+                        for u in ids[n >= len(s) * threshold / (2 - threshold) - 1e-9].tolist():
+                            if u not in sized:
+                                sized[u] = frozenset(np.unique(grams[edge[u] : stop[u] - 1]).tolist())
+                            dice = 2 * len(sized[u] & s) / (len(sized[u]) + len(s))
+                            if dice >= threshold:
+                                d = int(doc[edge[u]])
+                                seen.setdefault(d, set()).add(words[edge[u] : stop[u]].tobytes())
+                                own = best.setdefault(d, {})
+                                own[k] = max(own.get(k, 0.0), dice)
+                for k, (_, s, n) in enumerate(sets):
+                    for d, (dice, lo, hi) in _windows(grams, hits[holds[k]], doc, len(s), n, threshold).items():
+                        seen.setdefault(d, {words[lo : hi + 1].tobytes()})
+                        own = best.setdefault(d, {})
+                        own[k] = max(own.get(k, 0.0), dice)
+                for d, own in best.items():
+                    negative, name = min((-dice, sets[k][0]) for k, dice in own.items() if not any(j in own for j in owners[k]))
+                    names[first + d], dices[first + d], units[first + d] = name, -negative, len(seen[d])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(dices, pa.float64()), pa.array(units, pa.int64())], ["doc_id", "license", "dice", "n_units"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, license string, dice double, n_units long")

@@ -302,6 +302,31 @@ def test_license_scan(spark):
     assert all(got[i] == (None, 0) for i in (4, 5, 6, 7, 8, 10))
 
 
+def test_license_notices_anywhere_in_a_text(spark):
+    two, three = (dict(licenses.FULL)[n].replace(" 1. R", "\n\n1. R").replace(" 2. R", "\n\n2. R").replace(" 3. N", "\n\n3. N").replace(" THIS SOFT", "\n\nTHIS SOFT") for n in ("BSD-2-Clause", "BSD-3-Clause"))
+    gpl = next(x for n, x in licenses.FULL if n == "GPL-3.0" and len(x) > 20000)
+    around = prose(random.Random(1), 300)
+    rows = [(1, "The parser is small. Released under the MIT License. See the notes for more."), (2, f"Copyright X\n\n{two}"), (3, f"{around} {three} {around}"), (4, f"{around}\n{gpl}"), (5, around), (6, f"{around} GNU Lesser General Public License {around}"), (7, "released under the"), (8, "MIT License.")]
+    got = {r.doc_id: (r.license, r.n_units) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[1] == ("MIT", 1) and [got[i][0] for i in range(2, 9)] == ["BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", None, None, None, None]
+
+
+def test_license_windows_match_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        template = rng.integers(0, 9, rng.integers(2, 9)).tolist()
+        text = rng.integers(0, 9, 40).tolist()
+        s, n, best = set(zip(template, template[1:], strict=False)), len(template), 0.0
+        for a in range(len(text) - 1):
+            for b in range(a + 1, min(len(text), a + int((n - 1) * 1.2 / 0.8 + 1e-9) + 1)):
+                g = set(zip(text[a:b], text[a + 1 : b + 1], strict=True))
+                best = max(best, 2 * len(g & s) / (len(g) + len(s)))
+        grams = np.array([10 * x + y for x, y in zip(text, text[1:], strict=False)], np.uint64)
+        own = np.flatnonzero([(x, y) in s for x, y in zip(text, text[1:], strict=False)])
+        got = licenses._windows(grams, own, np.zeros(len(text), np.int64), len(s), n, 0.8)
+        assert got.get(0, (0.0,))[0] == (pytest.approx(best) if best >= 0.8 else 0.0)
+
+
 def test_masked_lm_prefers_what_it_knows(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(["a b c d e f"] * 30)) for i in range(40)] + [(100, None), (101, " "), (102, " ".join(rng.sample("abcdef", 1)[0] for _ in range(100))), (103, "a b c d e f " * 5), (None, "a b")]
