@@ -18,7 +18,7 @@ class Shape:
     buckets: int = 64  # classes that share all other words by hash
     width: int = 24
     sides: tuple[int, ...] = (-2, -1, 1, 2)
-    mask: float = 0.15  # share of the tokens of every text that training predicts
+    mask: float = 1.0  # share of the tokens of every text that training predicts; its own word is never among its inputs
     rate: float = 0.1
     vocabulary: int = 400_000  # distinct words these classes are meant for; see grown()
 
@@ -122,7 +122,7 @@ def train_batch(params: np.ndarray, sums: np.ndarray, s: Shape, context: np.ndar
 
 
 def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
-    """Corpus counts of all words, then the network: every task trains a replica on the masked tokens of all its texts,
+    """Corpus counts of all words, then the network: every task trains a replica on the tokens of all its texts,
     and the replicas' parameters are averaged, weighted by their tokens, in a shuffle by parameter.
 
     The classes grow with the vocabulary. The driver gets the frequent words, one count for each bucket and one averaged

@@ -353,6 +353,12 @@ def test_masked_lm_classes_grow_with_the_vocabulary(spark):
     assert sizes == [7, 13, 25]
 
 
+def test_masked_lm_trains_on_every_token(spark):
+    learned = masked_lm.learn(frame(spark, [(1, " ".join(f"w{i}" for i in range(40)))]))
+    bias = learned.params[-learned.shape.classes :]
+    assert (bias[:40] > 0).all() and (bias[40:] < 0).all()
+
+
 def test_masked_lm_gradient():
     s = masked_lm.Shape(words=3, buckets=2, width=4)
     rng = np.random.default_rng(0)
