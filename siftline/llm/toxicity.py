@@ -165,12 +165,15 @@ def _features(rows: DataFrame, keep: np.ndarray) -> list:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:  # noqa: B008
     """The model from labels(doc_id, toxic) of docs(doc_id, text): toxic = 1 rows are the confirmed examples, all docs
-    are unlabelled text, and the share of 1 among the labels is the class prior. Null labels, ids and texts are left out."""
+    are unlabelled text, and the share of 1 among the labels is the class prior. Which features get weights is decided by
+    counts over all of these rows, their weights by the sample. Null labels, ids and texts are left out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     prior = known.agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first().prior or 0.0
-    positive, unlabelled = rows.join(_part(known.where("toxic = 1"), sample.positives), "doc_id", "left_semi"), _part(rows, sample.unlabelled)
-    keep = telling(_counts(positive), _counts(unlabelled), positive.count(), unlabelled.count())
+    toxic = known.where("toxic = 1")
+    every = rows.join(toxic, "doc_id", "left_semi")
+    keep = telling(_counts(every), _counts(rows), every.count(), rows.count())
+    positive, unlabelled = rows.join(_part(toxic, sample.positives), "doc_id", "left_semi"), _part(rows, sample.unlabelled)
     return fit(_features(positive, keep), _features(unlabelled, keep), prior)
 
 

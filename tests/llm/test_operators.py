@@ -261,6 +261,15 @@ def test_toxicity_learns(spark):
     assert toxicity.scores(docs.limit(0), toxicity.learn(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_toxicity_features_are_chosen_over_all_rows(spark, monkeypatch):
+    rows = [(i, f"common w{i % 7} " + ("vile" if i % 5 == 0 else "fine")) for i in range(400)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    chosen, telling = [], toxicity.telling
+    monkeypatch.setattr(toxicity, "telling", lambda p, u, n_p, n_u: chosen.append((p.max(), u.max(), n_p, n_u)) or telling(p, u, n_p, n_u))
+    toxicity.learn(docs, labels, toxicity.Sample(positives=10, unlabelled=40))
+    assert chosen == [(80, 400, 80, 400)]
+
+
 def brute_viterbi(machine, text):
     v = machine.vocabulary
     table = {}
