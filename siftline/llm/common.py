@@ -20,12 +20,32 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle files go as soon as what was made of them is written, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftline/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._siftline_path = path
+    return read
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark, path = table.sparkSession, getattr(table, "_siftline_path", None)
+    if path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -211,33 +211,59 @@ def test_language_profiles(spark):
 
 
 def brute_removal(rows, length):
-    first = {}
+    first, rank = {}, lambda i: -(1 << 63) if i is None else i
     for i, t in rows:
         b = (t or "").encode()
         for s in range(len(b) - length + 1):
             w = b[s : s + length]
-            first[w] = min(first.get(w, i), i)
+            first[w] = min(first.get(w, rank(i)), rank(i))
     out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for s in range(len(b) - length + 1):
-            if first[b[s : s + length]] < i:
+            if first[b[s : s + length]] < rank(i):
                 gone[s : s + length] = True
         spans = int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) > 0))
         out.append((i, len(b), int(gone.sum()), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffixdedup, "HOT", hot)
+@pytest.mark.parametrize(("split", "run"), [(4096, 1 << 22), (3, 1 << 22), (2, 700)])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, split, run):
+    monkeypatch.setattr(suffixdedup, "SPLIT", split)
+    monkeypatch.setattr(suffixdedup, "RUN", run)
     rng = random.Random(5)
     shared = [prose(rng, 30) for _ in range(3)] + ["é" * 40, "a" * 200, "x" * 49, "y" * 50]
     rows = [(i, prose(rng, rng.randrange(30)) + rng.choice(shared)[rng.randrange(20) :] + prose(rng, rng.randrange(20))) for i in range(40)]
-    rows += [(50, None), (51, ""), (52, "y" * 50), (53, "y" * 50), (54, rows[3][1]), (55, "a\0" * 60), (56, "a\0" * 60)]
+    rows += [(50, None), (51, ""), (52, "y" * 50), (53, "y" * 50), (54, rows[3][1]), (55, "a\0" * 60), (56, "a\0" * 60), (57, prose(rng, 400)), (57, rows[4][1] + rows[5][1]), (None, rows[6][1]), (None, None), (-3, shared[0] + shared[1])]
+    rows += [(58, rows[7][1]), (58, rows[7][1]), (59, rows[-5][1][300:900] + "é" + rows[-5][1][100:700])]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.remove_repeats(frame(spark, rows)).collect()]
+    order = lambda x: (x[0] is not None, x)
+    assert sorted(got, key=order) == sorted(brute_removal(rows, 50), key=order)
+
+
+def test_suffix_dedup_many_contexts_and_empty_table(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "SPLIT", 4)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 5) + "the same passage of more than fifty characters in all of them" + prose(rng, 5)) for i in range(60)]
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixdedup.remove_repeats(frame(spark, rows)).collect()]
     assert sorted(got) == sorted(brute_removal(rows, 50))
+    assert suffixdedup.remove_repeats(frame(spark, [])).collect() == []
+
+
+def test_windows_in_blocks_equal_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    raw = rng.integers(97, 100, 5000).astype(np.uint8)
+    at = np.array([0, 10, 10, 700, 749, 800, 4000, 5000])
+
+    def flat(found):
+        return {i: (int(p), int(h)) for a, b, p, h in zip(*(x.tolist() for x in found), strict=True) for i in range(a, b)}
+
+    whole = flat(suffixdedup._all_windows(raw, at, 50))
+    monkeypatch.setattr(suffixdedup, "RUN", 333)
+    assert flat(suffixdedup._all_windows(raw, at, 50)) == whole
+    assert sorted(whole) == [i for a, b in zip(at, at[1:], strict=False) for i in range(a, b - 49)]
 
 
 def test_suffix_array_is_sorted():
