@@ -48,6 +48,11 @@ def is_doc(path) -> Column:
     return F.lower(basename(path)).rlike(r"\.(md|mdc|mdx|markdown|rst|adoc|txt)$|^(readme|changelog|contributing|license|notice|authors)(\..*)?$")
 
 
+def is_doc_task(query) -> Column:
+    """Whether a task is about documentation itself."""
+    return F.lower(query).rlike(r"\b(docs?|documentation|readme|changelog|guide|tutorial|markdown|faq|wiki)\b|\.(md|mdc|mdx|rst)\b")
+
+
 def is_code(path) -> Column:
     return ~is_doc(path) & ~F.lower(path).rlike(r"\.(json|jsonc|ya?ml|toml|ini|xml|csv|lock|env|txt)$") & ~path.rlike(r"(^|/)\.")
 
@@ -58,3 +63,8 @@ def is_secret(path) -> Column:
 
 def stem_of(path) -> Column:
     return F.lower(F.regexp_replace(basename(path), r"\.[^.]*$", ""))
+
+
+def test_stem(path) -> Column:
+    """The stem that a test file is named after (a.test.ts: a); null for other files."""
+    return F.nullif(F.lower(F.regexp_extract(basename(path), r"(?i)^(.+)\.(?:test|spec)\.[^.]+$", 1)), F.lit(""))

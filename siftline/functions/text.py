@@ -59,8 +59,8 @@ def singular(word) -> Column:
     cut = lambda k: F.substring(word, F.lit(1), n - k)
     return (
         F.when((n < 3) | ~word.endswith("s"), word)
-        .when(n == 3, F.when(word.rlike("(ss|us|is|os)$"), word).otherwise(cut(1)))
-        .when(word.endswith("ies"), F.concat(cut(3), F.lit("y")))
+        .when(n == 3, F.when(word.rlike("(ss|us|is|os|as)$"), word).otherwise(cut(1)))
+        .when((n > 4) & word.endswith("ies"), F.concat(cut(3), F.lit("y")))
         .when(word.rlike("(sses|xes|ches|shes)$"), cut(2))
         .when(word.rlike("(ss|us|is|os)$"), word)
         .otherwise(cut(1))
