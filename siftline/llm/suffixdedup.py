@@ -14,33 +14,28 @@ from .common import dropped, staged
 from .kernels import MULTIPLIER, buffers, mix, powers, runs
 
 GRAM = 24  # bytes of a fingerprint
-RUN = 1 << 22  # bytes of text that are worked on at a time
+RUN = 1 << 22  # bytes of text that send their entries together
+BLOCK = (1 << 20) - 256  # bytes that are hashed at a time
 SPLIT = 4096  # distinct segments of one fingerprint above which they are dealt window by window
 LOWEST = -(1 << 63)
 SORT = 1 << 20  # symbols of one local sort
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from every place on, put together from those of powers of two."""
+    """A 64-bit hash of the GRAM bytes from every place on."""
+    up, down = powers(len(raw) + 1)
     with np.errstate(over="ignore"):
-        h, width, acc, shift, rest = (raw.astype(np.uint64) + np.uint64(1)) * MULTIPLIER, 1, None, 0, GRAM
-        while True:
-            if rest & width:
-                acc = h if acc is None else mix(acc[: len(h) - shift] * MULTIPLIER + h[shift : shift + len(acc)]) if len(h) > shift else h[:0]
-                shift += width
-                rest -= width
-            if not rest:
-                return acc[: max(0, len(raw) - GRAM + 1)]
-            h = mix(h[:-width] * MULTIPLIER + h[width:]) if len(h) > width else h[:0]
-            width *= 2
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+        return mix((total[GRAM:] - total[:-GRAM]) * down[: max(0, len(raw) - GRAM + 1)])
 
 
 def windows_of(raw: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, stop, place, mark): runs first <= i < stop of windows of `length` bytes with the same least fingerprint
     (the last of equal ones), where it stands and its hash. Windows lie within the texts at[i]:at[i + 1] of raw; a very
     long text is taken in blocks, so a run may come in two parts."""
-    for lo in range(0, max(0, len(raw) - length + 1), RUN):
-        part = raw[lo : lo + RUN + length - 1]
+    for lo in range(0, max(0, len(raw) - length + 1), BLOCK):
+        part = raw[lo : lo + BLOCK + length - 1]
         n, hashes = len(part) - length + 1, gram_hashes(part)
         key = (hashes & ~np.uint64((1 << 32) - 1)) | (np.uint64((1 << 32) - 1) - np.arange(len(hashes), dtype=np.uint64))
         span, low, have = length - GRAM + 1, key, 1
@@ -97,7 +92,7 @@ def difference_cover_sort(s: np.ndarray) -> np.ndarray:
     t = np.concatenate((s, np.zeros(3, s.dtype))).astype(np.uint64)
     sample = np.concatenate((np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)))
     triple = (t[sample] << np.uint64(42)) | (t[sample + 1] << np.uint64(21)) | t[sample + 2]
-    order = np.argsort(triple, kind="stable")
+    order = np.argsort(triple)
     fresh = np.concatenate(([1], triple[order][1:] != triple[order][:-1])).cumsum()
     if fresh[-1] < len(sample):
         names = np.empty(len(sample), np.int64)
@@ -108,7 +103,7 @@ def difference_cover_sort(s: np.ndarray) -> np.ndarray:
     rank[first] = np.arange(1, len(first) + 1, dtype=np.uint64)
     first = first[first < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort((t[zero] << np.uint64(32)) | rank[zero + 1], kind="stable")]
+    zero = zero[np.argsort((t[zero] << np.uint64(32)) | rank[zero + 1])]
     one, two = first[first % 3 == 1], first[first % 3 == 2]
     below = np.searchsorted((t[one] << np.uint64(32)) | rank[one + 1], (t[zero] << np.uint64(32)) | rank[zero + 1])
     key = lambda i: (t[i] << np.uint64(43)) | (t[i + 1] << np.uint64(22)) | rank[i + 2]
@@ -220,10 +215,13 @@ def segments(docs: DataFrame, places: DataFrame, length: int, buckets: int) -> D
                 first, size, mark, doc = first[keep], (stop - first)[keep] + length - 1, mark[keep], doc[keep]
                 if not len(first):
                     continue
-                up, down = powers(len(raw) + 1)
-                with np.errstate(over="ignore"):
-                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(257)) * up[: len(raw)])))
-                    seg = mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
+                seg = np.empty(len(first), np.uint64)
+                for lo in range(0, len(raw), BLOCK):
+                    part, own = raw[lo : lo + BLOCK + 2 * length], np.flatnonzero((first >= lo) & (first < lo + BLOCK))
+                    up, down = powers(len(part) + 1)
+                    with np.errstate(over="ignore"):
+                        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(257)) * up[: len(part)])))
+                        seg[own] = mix((total[first[own] + size[own] - lo] - total[first[own] - lo]) * down[first[own] - lo] + size[own].astype(np.uint64))
                 k, bucket = k_all[x:y], ((mark >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((k[doc], seg, mark, bucket))
                 first, size, mark, doc, seg, bucket = (c[order] for c in (first, size, mark, doc, seg, bucket))
@@ -370,13 +368,14 @@ def earlier_windows(entries: DataFrame, length: int) -> DataFrame:
             owner = np.repeat(np.arange(len(own)), sizes + 1)
             offset = np.arange(len(owner)) - starts[owner]
             body = offset < sizes[owner]
-            data = np.zeros(len(owner) + length, np.uint8)
+            data = np.zeros(len(owner) + length + 8, np.uint8)
             data[: len(owner)][body] = text[(begin[own][owner] + offset)[body]]
             suffixes = difference_cover_sort(np.where(body, data[: len(owner)].astype(np.int64) + 2, 1))
             suffixes = suffixes[offset[suffixes] <= sizes[owner[suffixes]] - length]
+            eight = np.ndarray((len(owner) + length,), "<u8", data, strides=(1,))  # the eight bytes from every place on
             same = np.ones(max(len(suffixes) - 1, 0), bool)
-            for j in range(length):
-                same &= data[suffixes[1:] + j] == data[suffixes[:-1] + j]
+            for j in sorted({*range(0, length - 7, 8), length - 8}):
+                same &= eight[suffixes[1:] + j] == eight[suffixes[:-1] + j]
             edge = np.flatnonzero(np.concatenate(([True], ~same)))
             which = own[owner[suffixes]]
             lowest = np.repeat(np.minimum.reduceat(low[which], edge), np.diff(np.append(edge, len(suffixes))))
@@ -435,7 +434,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length is {GRAM} to 100, not {length}")
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), F.xxhash64("text").alias("text_hash"), F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     total = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    buckets = max(32, total >> 24)
+    buckets = max(32, total >> 23)
     long = base.where(F.octet_length("text") >= length)
     places = repeated_places(long, length, buckets)
     cut = staged(segments(long, places, length, buckets), "segments", by="kind")
