@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftline/{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned(spark):
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     read = spark.read.schema(df.schema).parquet(path)
     read._siftline_path = path
     return read
@@ -48,6 +57,18 @@ def dropped(table: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, times: str, parts: int = 1000) -> DataFrame:
+    """rows joined with counted, a staged table that has one row a key and how many rows bear it.
+
+    Keys of more than one row in `parts` are broadcast, so that none of them lands in one task; there are `parts` of them
+    at most. The others meet by a shuffle, in which no key has a larger share.
+    """
+    total = counted.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n")).first().n
+    often = F.col(times) * parts > total
+    hot = F.broadcast(counted.where(often))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(counted.where(~often), key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,26 +9,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import buffers, mix, runs, word_hashes
+from .common import cleaned, dropped, staged
+from .kernels import buffers, runs, word_hashes
+
+PIECE = 1 << 12  # parameters of a row that is summed
+TOKENS = 1 << 13  # tokens that are scored at a time
 
 
 @dataclass(frozen=True)
 class Shape:
-    words: int = 191  # most frequent words of the corpus, a class each
-    buckets: int = 64  # classes that share all other words by hash
+    """Slots are words of the corpus by rank, each its own, and after them buckets that share all other words by hash.
+
+    A slot is predicted in two steps: its group of `fan` neighbours in rank, then its place in the group.
+    """
+
+    words: int = 3072
+    buckets: int = 1024
+    fan: int = 64
     width: int = 24
     sides: tuple[int, ...] = (-2, -1, 1, 2)
-    mask: float = 1.0  # share of the tokens of every text that training predicts; its own word is never among its inputs
     rate: float = 0.1
-    vocabulary: int = 400_000  # distinct words these classes are meant for; see grown()
+    batch: int = 4096  # tokens of a training step
+    rounds: int = 4  # parts of the corpus, after each of which the replicas are averaged
+    shard: int = 1 << 27  # bytes of text that train a replica in order
+    least: int = 24  # shards of a small corpus
+    vocabulary: int = 400_000  # distinct words these slots are meant for; see grown()
+
+    @property
+    def slots(self) -> int:
+        return self.words + self.buckets
 
     @property
     def classes(self) -> int:
-        return self.words + self.buckets + 1  # the last stands beyond both ends of a text
+        return self.slots + 1  # the last stands beyond both ends of a text
+
+    @property
+    def groups(self) -> int:
+        return -(-self.slots // self.fan)
+
+    @property
+    def sizes(self) -> tuple[int, ...]:
+        """Numbers of the five parameter blocks; see views()."""
+        return len(self.sides) * self.classes * self.width, self.width * self.groups, self.groups, self.groups * self.width * self.fan, self.groups * self.fan
 
     @property
     def size(self) -> int:
-        return len(self.sides) * self.classes * self.width + self.width * self.classes + self.classes
+        return sum(self.sizes)
 
     def grown(self, distinct: int) -> Shape:
         """Words and buckets for a corpus of so many distinct words: more by the cube root of what exceeds vocabulary."""
@@ -38,7 +64,7 @@ class Shape:
 
 @dataclass(frozen=True)
 class Language:
-    """Corpus counts (frequent word hashes, sorted, with their classes; tokens of other words by bucket; n of every word
+    """Corpus counts (frequent word hashes, sorted, with their slots; tokens of other words by bucket; n of every word
     as a table) and the network."""
 
     shape: Shape
@@ -61,75 +87,111 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _classes(words: np.ndarray, language: Language) -> np.ndarray:
+def slots_of(words: np.ndarray, language: Language) -> np.ndarray:
     s = language.shape
+    bucket = (s.words + (words % np.uint64(s.buckets)).astype(np.int64)).astype(np.int32)
     if not len(language.hashes):
-        return (s.words + (words % np.uint64(s.buckets))).astype(np.int32)
+        return bucket
     at = np.minimum(np.searchsorted(language.hashes, words), len(language.hashes) - 1)
-    return np.where(language.hashes[at] == words, language.ranks[at], s.words + (words % np.uint64(s.buckets)).astype(np.int32)).astype(np.int32)
+    return np.where(language.hashes[at] == words, language.ranks[at], bucket).astype(np.int32)
 
 
-def _views(params: np.ndarray, s: Shape):
-    n = len(s.sides) * s.classes * s.width
-    m = n + s.width * s.classes
-    return params[:n].reshape(len(s.sides), s.classes, s.width), params[n:m].reshape(s.width, s.classes), params[m:]
+def views(params: np.ndarray, s: Shape) -> tuple[np.ndarray, ...]:
+    """Inputs by side and slot; group weights and biases; weights and biases of the places, by group."""
+    a, b, c, d, e = np.split(params, np.cumsum(s.sizes)[:-1])
+    return a.reshape(len(s.sides), s.classes, s.width), b.reshape(s.width, s.groups), c, d.reshape(s.groups, s.width, s.fan), e.reshape(s.groups, s.fan)
 
 
-def _start(s: Shape) -> np.ndarray:
+def start(s: Shape) -> np.ndarray:
     p = np.random.default_rng(3).normal(0, 0.1, s.size).astype(np.float32)
-    p[-s.classes :] = 0
+    for block in (2, 4):
+        views(p, s)[block][...] = 0
+    views(p, s)[4].reshape(-1)[s.slots :] = -30  # places beyond the last slot
     return p
 
 
-def _context(classes: np.ndarray, at: np.ndarray, s: Shape) -> np.ndarray:
-    """(sides, tokens) classes beside every token; beyond a text's ends the class that stands for that."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    i = np.arange(len(classes))
-    out = np.empty((len(s.sides), len(classes)), np.int32)
+def context_of(slots: np.ndarray, at: np.ndarray, s: Shape, first: int = 0, last: int | None = None) -> np.ndarray:
+    """(sides, last - first) slots beside the tokens first:last; beyond a text's ends the one that stands for that."""
+    i = np.arange(first, len(slots) if last is None else last)
+    doc = np.searchsorted(at, i, side="right") - 1
+    out = np.empty((len(s.sides), len(i)), np.int32)
     for k, d in enumerate(s.sides):
         j = i + d
-        inside = (j >= at[doc]) & (j < at[doc + 1])
-        out[k] = np.where(inside, classes[np.clip(j, 0, max(len(classes) - 1, 0))], s.classes - 1)
+        out[k] = np.where((j >= at[doc]) & (j < at[doc + 1]), slots[np.clip(j, 0, max(len(slots) - 1, 0))], s.slots)
     return out
 
 
-def _forward(params, s: Shape, context: np.ndarray):
-    sides, head, bias = _views(params, s)
-    hidden = np.tanh(sum(sides[k][context[k]] for k in range(len(s.sides))))
-    z = hidden @ head + bias
+def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
-    return hidden, z, np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
-def train_batch(params: np.ndarray, sums: np.ndarray, s: Shape, context: np.ndarray, target: np.ndarray) -> None:
-    """One Adagrad step on the mean negative log-likelihood of the targets."""
-    sides, head, bias = _views(params, s)
-    hidden, z, norm = _forward(params, s, context)
-    g = np.exp(z - norm)
-    g[np.arange(len(target)), target] -= 1
-    g /= len(target)
-    back = (g @ head.T) * (1 - hidden * hidden)
-    grad = np.zeros_like(params)
-    g_sides, g_head, g_bias = _views(grad, s)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _by_group(target: np.ndarray, s: Shape):
+    """An order of the tokens by the group of their slot, and (group, first, stop) within it."""
+    group = target // s.fan
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.diff(group[order], prepend=-1))
+    return order, list(zip(group[order[edge]].tolist(), edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True))
+
+
+def log_probabilities(params: np.ndarray, s: Shape, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of every target slot, given the slots on both its sides."""
+    sides, head, bias, place, place_bias = views(params, s)
+    hidden = np.tanh(sum(sides[k][context[k]] for k in range(len(s.sides))))
+    out = _log_softmax(hidden @ head + bias)[np.arange(len(target)), target // s.fan]
+    order, parts = _by_group(target, s)
+    hidden, within = hidden[order], target[order] % s.fan
+    inner = np.empty(len(target), out.dtype)
+    for g, a, b in parts:
+        inner[a:b] = _log_softmax(hidden[a:b] @ place[g] + place_bias[g])[np.arange(b - a), within[a:b]]
+    out[order] += inner
+    return out
+
+
+def gradient(params: np.ndarray, s: Shape, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Of the mean negative log-probability of the targets."""
+    order, parts = _by_group(target, s)
+    context, target = context[:, order], target[order]
+    sides, head, bias, place, place_bias = views(params, s)
+    hidden = np.tanh(sum(sides[k][context[k]] for k in range(len(s.sides))))
+    out = np.zeros_like(params)
+    g_sides, g_head, g_bias, g_place, g_place_bias = views(out, s)
+    z = np.exp(_log_softmax(hidden @ head + bias))
+    z[np.arange(len(target)), target // s.fan] -= 1
+    z /= len(target)
+    g_head += hidden.T @ z
+    g_bias += z.sum(axis=0)
+    back = z @ head.T
+    for g, a, b in parts:
+        y = np.exp(_log_softmax(hidden[a:b] @ place[g] + place_bias[g]))
+        y[np.arange(b - a), target[a:b] % s.fan] -= 1
+        y /= len(target)
+        g_place[g] = hidden[a:b].T @ y
+        g_place_bias[g] = y.sum(axis=0)
+        back[a:b] += y @ place[g].T
+    back *= 1 - hidden * hidden
     for k in range(len(s.sides)):
-        order = np.argsort(context[k], kind="stable")
-        cut = np.flatnonzero(np.diff(context[k][order], prepend=-1))
-        g_sides[k][context[k][order[cut]]] = np.add.reduceat(back[order], cut, axis=0)
-    g_head += hidden.T @ g
-    g_bias += g.sum(axis=0)
-    sums += grad * grad
-    params -= s.rate * grad / (np.sqrt(sums) + 1e-6)
+        own = np.argsort(context[k], kind="stable")
+        cut = np.flatnonzero(np.diff(context[k][own], prepend=-1))
+        g_sides[k][context[k][own[cut]]] = np.add.reduceat(back[own], cut, axis=0)
+    return out
 
 
-def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
-    """Corpus counts of all words, then the network: every task trains a replica on the tokens of all its texts,
-    and the replicas' parameters are averaged, weighted by their tokens, in a shuffle by parameter.
+def train(params: np.ndarray, s: Shape, slots: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """params after Adagrad steps on every token of the texts at[i]:at[i + 1] of slots, in their order."""
+    params, sums = params.copy(), np.zeros(s.size, np.float32)
+    for first in range(0, len(slots), s.batch):
+        last = min(len(slots), first + s.batch)
+        g = gradient(params, s, context_of(slots, at, s, first, last), slots[first:last])
+        moved = np.flatnonzero(g)
+        own = g[moved]
+        total = sums[moved] + own * own
+        sums[moved] = total
+        params[moved] -= s.rate * own / (np.sqrt(total) + 1e-6)
+    return params
 
-    The classes grow with the vocabulary. The driver gets the frequent words, one count for each bucket and one averaged
-    network; the counts of all words stay a table, which score() joins.
-    """
-    from .common import staged
 
+def _vocabulary(docs: DataFrame, shape: Shape) -> Language:
     counts = staged(word_counts(docs), "words")
     shape = shape.grown(counts.count())
     top = counts.orderBy(F.desc("n"), "word").limit(shape.words).collect()
@@ -137,35 +199,65 @@ def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
     order = np.argsort(hashes)
     bucket = F.expr(f"CAST(pmod(CAST(word AS DECIMAL(20,0)) + IF(word < 0, CAST('18446744073709551616' AS DECIMAL(20,0)), 0), {shape.buckets}) AS INT)")
     totals = np.zeros(shape.buckets)
-    rows = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()
-    for r in rows:
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
         totals[r.bucket] = r.n
     for r, h in zip(top, hashes, strict=True):
         totals[int(h % np.uint64(shape.buckets))] -= r.n
-    language = Language(shape, hashes[order], order.astype(np.int32), totals, np.zeros(0, np.float32))
+    return Language(shape, hashes[order], order.astype(np.int32), totals, start(shape), counts)
 
-    def train(batches):
-        params, sums, seen = _start(shape), np.zeros(shape.size, np.float32), 0
+
+def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
+    """Corpus counts of all words, then the network, trained once on every token of every text.
+
+    Texts are dealt by a hash of doc_id and text to shards of shape.shard bytes, and in a shard ordered by it, so the model
+    does not depend on how the input was partitioned. The shards are dealt to shape.rounds rounds; in a round each of its
+    shards trains a replica of the model so far, and the replicas are averaged, weighted by their tokens, in a shuffle by
+    pieces of the parameters. Slots grow with the vocabulary. The driver gets the frequent words, one count for each
+    bucket and one network a round; the counts of all words stay a table, which score() joins.
+    """
+    language = _vocabulary(docs, shape)
+    shape, known = language.shape, replace(language, counts=None, params=np.zeros(0))
+    shards = max(shape.least, (docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n // shape.shard))
+
+    def encode(batches):
         for batch in batches:
-            words, at = word_hashes(*buffers(batch.column(0)))
-            if not len(words):
-                continue
-            classes = _classes(words, language)
-            place = np.arange(len(words), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                picked = np.flatnonzero((mix(words + place * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) < np.uint64(shape.mask * (1 << 24)))
-            context = _context(classes, at, shape)
-            for i in range(0, len(picked), 512):
-                rows = picked[i : i + 512]
-                train_batch(params, sums, shape, context[:, rows], classes[rows])
-            seen += len(picked)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape.size)), pa.array(params.astype(np.float64) * seen), pa.array(np.full(shape.size, float(seen)))], ["at", "x", "w"])
-
-    mean = docs.select("text").mapInArrow(train, "at long, x double, w double").groupBy("at").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
-    params = _start(shape)
-    params[mean["at"].to_numpy()] = mean["x"].to_numpy()
-    return replace(language, params=params, counts=counts)
+            words, at = word_hashes(*buffers(batch.column(1)))
+            slots = slots_of(words, known)
+            rows = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([slots[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], ["order", "slots"])
+
+    coded = docs.select(F.xxhash64("doc_id", "text", F.lit("order")).alias("order"), "text").mapInArrow(encode, "order long, slots binary")
+    table = staged(coded.withColumn("shard", F.pmod("order", F.lit(shards)).cast("int")), "slots")
+    params = language.params
+    for part in range(shape.rounds):
+        replicas = table.where(F.pmod("shard", F.lit(shape.rounds)) == part).groupBy("shard").applyInArrow(_replica(params, shape), "at int, x binary, n double")
+        params = params.copy()
+        with cleaned(docs.sparkSession):
+            for r in replicas.groupBy("at").applyInArrow(_mean, "at int, x binary").collect():
+                x = np.frombuffer(r.x, np.float64)
+                params[r.at : r.at + len(x)] += x.astype(np.float32)
+    dropped(table)
+    return replace(language, params=params)
+
+
+def _replica(params: np.ndarray, shape: Shape):
+    """How far the texts of a shard move the parameters, in pieces, times their tokens."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("order", "ascending"), ("slots", "ascending")])
+        texts = group["slots"].to_pylist()
+        slots, at = np.frombuffer(b"".join(texts), np.int32), np.concatenate(([0], np.cumsum([len(t) // 4 for t in texts])))
+        moved = (train(params, shape, slots, at).astype(np.float64) - params) * len(slots)
+        cut = range(0, shape.size, PIECE)
+        return pa.table({"at": pa.array(list(cut), pa.int32()), "x": pa.array([moved[i : i + PIECE].tobytes() for i in cut], pa.binary()), "n": pa.array([float(len(slots))] * len(cut))})
+
+    return run
+
+
+def _mean(group: pa.Table) -> pa.Table:
+    rows = sorted(zip(group["x"].to_pylist(), group["n"].to_pylist(), strict=True))
+    x = sum(np.frombuffer(x, np.float64) for x, _ in rows) / sum(n for _, n in rows)
+    return pa.table({"at": group["at"][:1], "x": pa.array([x.tobytes()], pa.binary())})
 
 
 def score(docs: DataFrame, language: Language) -> DataFrame:
@@ -174,29 +266,28 @@ def score(docs: DataFrame, language: Language) -> DataFrame:
     A word outside the frequent ones gets its bucket's probability times its own share of the bucket's tokens in the
     corpus, n / (all + 1); the 1 left over is for words the corpus lacks. These shares depend only on how often a row has
     a word, so rows' distinct words are joined with the counts. Null and blank texts have no tokens: 0 and a null score.
-    Rows are scored one by one; other columns are not read.
+    Rows are scored one by one, so repeated rows get equal scores; texts of any length are scored whole, a few thousand
+    tokens at a time; other columns are not read; an empty table gives an empty result.
     """
     s, counts = language.shape, language.counts
     language = replace(language, counts=None)
     names = ["row", "doc_id", "n_tokens", "known", "word", "times"]
 
     def work(batches):
-        share = np.concatenate([np.zeros(s.words), -np.log(language.totals + 1), np.zeros(1)])
+        share = np.concatenate([np.zeros(s.words), -np.log(language.totals + 1)])
         for batch in batches:
             ids = batch.column(0).to_numpy()
             words, at = word_hashes(*buffers(batch.column(2)))
-            classes = _classes(words, language)
-            context = _context(classes, at, s)
+            slots = slots_of(words, language)
             each = np.empty(len(words))
-            for i in range(0, len(words), 2048):
-                _, z, norm = _forward(language.params, s, context[:, i : i + 2048])
-                own = classes[i : i + 2048]
-                each[i : i + 2048] = z[np.arange(len(own)), own] - norm[:, 0] + share[own]
+            for i in range(0, len(words), TOKENS):
+                own = slots[i : i + TOKENS]
+                each[i : i + TOKENS] = log_probabilities(language.params, s, context_of(slots, at, s, i, i + len(own)), own) + share[own]
             sums = np.concatenate(([0.0], np.cumsum(each)))
             total, n = sums[at[1:]] - sums[at[:-1]], np.diff(at)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), batch.column(0), pa.array(np.zeros(len(n), np.int64))], names)
             for first, last in runs(at, 1 << 18):
-                rest = np.flatnonzero(classes[at[first] : at[last]] >= s.words) + at[first]
+                rest = np.flatnonzero(slots[at[first] : at[last]] >= s.words) + at[first]
                 doc = np.searchsorted(at, rest, side="right") - 1
                 order = np.lexsort((words[rest], doc))
                 doc, own = doc[order], words[rest][order]
