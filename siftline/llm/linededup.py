@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, join_counted, staged
 
 #: A run of at least so many consecutive non-blank lines counts as repeated.
 RUN = 3
@@ -70,8 +70,8 @@ def repeated_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: i
     ))
     picked = base.select("doc_id", "text_hash", "lines", hashes.alias("hashes")).select("doc_id", "text_hash", "lines", "hashes", lowest.alias("lowest"))
     prints = staged(picked.select("doc_id", "text_hash", F.explode(marks).alias("m")).select("doc_id", "text_hash", "m.*"), "fingerprints")
-    again = prints.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1").select("mark")
-    around = prints.join(again, "mark", "left_semi").select(
+    again = staged(prints.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1"), "marks")
+    around = join_counted(prints, again, "mark", "times").select(
         "doc_id", "text_hash", F.explode(F.transform(F.sequence(F.lit(0), F.size("near") - run), lambda s: F.struct((s + F.col("first")).alias("start"), F.slice("near", s + 1, F.lit(run)).alias("lines")))).alias("w")
     )
     run_hashes = F.transform("w.lines", lambda x: x.hash)
@@ -79,8 +79,9 @@ def repeated_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: i
     if run > 1:
         windows = windows.unionByName(_long_windows(docs, run, words, chars))
     windows = staged(windows.distinct(), "runs")
-    first = windows.groupBy("run").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").select("run", "first")
-    later = windows.join(first, "run").where("place > first")
+    dropped(prints), dropped(again)
+    first = staged(windows.groupBy("run").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1"), "firsts")
+    later = join_counted(windows, first, "run", "times").where("place > first")
     return later.select("place.doc_id", "place.text_hash", F.explode("nos").alias("no")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
@@ -88,16 +89,20 @@ def dedup_lines(docs: DataFrame, run: int = RUN, words: int = WORDS, chars: int
     """docs with the columns n_lines and n_removed_lines added and text without repeated runs.
 
     Blank lines take no part in a run and stay. A run must be `run` non-blank lines long, or have `words` words or
-    `chars` characters; lines are compared without white space at their ends. Null texts stay null; empty texts have one blank line. Rows that repeat doc_id and text
-    are one document: none of them is an earlier copy of the other, and all lose the same lines. Other columns,
-    whatever they are called, are kept.
+    `chars` characters; lines are compared without white space at their ends. Null texts stay null; empty texts have one
+    blank line. Rows that repeat doc_id and text are one document: none of them is an earlier copy of the other, and all
+    lose the same lines. A null doc_id comes before all others. Other columns, whatever they are called, are kept; an
+    input column n_lines or n_removed_lines gives way to the new one. An empty table gives an empty result.
     """
-    gone = repeated_lines(docs, run, words, chars).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "gone")
-    rows = docs.withColumn("_own_hash", F.xxhash64("text"))
-    same = rows["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (rows["_own_hash"] == gone["_gone_hash"])
-    split = F.split("text", "\n")
+    gone = repeated_lines(docs, run, words, chars)
+    # positions instead of names, so that no column of docs can clash
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    c = dict(zip(docs.columns, names, strict=True))
+    rows = docs.toDF(*names).withColumn("hash", F.xxhash64(c["text"]))
+    gone = gone.toDF("gone_id", "gone_hash", "gone")
+    out = rows.join(gone, F.col(c["doc_id"]).cast("long").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
+    split = F.split(c["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
-    out = rows.join(gone, same, "left")
+    text = F.when(F.col("gone").isNull(), F.col(c["text"])).otherwise(F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n"))
     counts = [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines")]
-    return out.select(*[text.alias("text") if c == "text" else rows[f"`{c}`"] for c in docs.columns if c not in ("n_lines", "n_removed_lines")], *counts)
+    return out.select(*[(text if name == "text" else F.col(c[name])).alias(name) for name in docs.columns if name not in ("n_lines", "n_removed_lines")], *counts)

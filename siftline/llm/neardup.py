@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, join_counted, staged
 from .components import connected
 from .kernels import buffers, shingles, word_hashes
 
@@ -126,8 +126,9 @@ def candidates(sets: DataFrame, bound: int, paths: Paths) -> tuple[DataFrame, Da
     rows = rows.select(F.xxhash64("tree", "token").alias("node"), "me", F.slice("path", paths.branch + 1, per).alias("path"))
     pairs, stars = [], []
     for level in range(1, paths.levels + 1):
-        counted = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("me").alias("head")).where("size > 1")
-        met = staged(rows.join(counted, "node").withColumn("apart", F.expr(_apart("head", "me"))), f"level{level}")
+        counted = staged(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("me").alias("head")).where("size > 1"), f"nodes{level}")
+        met = staged(join_counted(rows, counted, "node", "size").withColumn("apart", F.expr(_apart("head", "me"))), f"level{level}")
+        dropped(counted)
         leaf = met.where(F.col("size") <= paths.leaf).groupBy("node").agg(F.array_sort(F.collect_list("me")).alias("all"))
         inside = F.expr(f"flatten(transform(all, (x, i) -> transform(filter(slice(all, i + 2, {paths.leaf}), y -> {_close('x', 'y', bound)}), y -> struct(x.key AS a, y.key AS b))))")
         pairs.append(leaf.select(F.explode(inside).alias("p")).select("p.a", "p.b"))
