@@ -34,9 +34,7 @@ def hash_strings(x: np.ndarray, centre: np.ndarray, trees: int, bits: int, seed:
 def search(points: np.ndarray, queries: np.ndarray, forest: Forest) -> list[np.ndarray]:
     """Candidates (indices of points) of each query: every tree is descended to its longest prefix match, then all trees
     ascend together, one bit at a time, until forest.seek distinct candidates (or all points) are found."""
-    n = len(points)
-    if n <= forest.seek:
-        return [np.arange(n)] * len(queries)
+    n, seek = len(points), min(forest.seek, len(points))
     centre = np.median(points, axis=0)
     own, asked = hash_strings(points, centre, forest.trees, forest.bits), hash_strings(queries, centre, forest.trees, forest.bits)
     order = np.argsort(own, axis=1, kind="stable")
@@ -53,10 +51,10 @@ def search(points: np.ndarray, queries: np.ndarray, forest: Forest) -> list[np.n
     out = []
     for q in range(len(queries)):
         found = np.zeros(n, bool)
-        for depth in range(int(np.flatnonzero(size[q] >= forest.seek)[-1]), -1, -1):
+        for depth in range(int(np.flatnonzero(size[q] >= seek)[-1]), -1, -1):
             for t in range(forest.trees):
                 found[order[t, first[t, q, depth] : last[t, q, depth]]] = True
-            if np.count_nonzero(found) >= forest.seek:
+            if np.count_nonzero(found) >= seek:
                 break
         out.append(np.flatnonzero(found))
     return out
@@ -67,13 +65,15 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, forest: Forest
 
     The score is the Euclidean distance in double precision; the query's own row is no candidate; ties go to the smaller
     vec_id. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
-    nor do null ids; rows that repeat a vec_id take part as rows of their own, except as neighbours of that id. Equal vectors
-    are indexed once with their k + 1 smallest ids, which are all that any answer can need. Every distinct vector is
-    indexed, in shards that a task can hold; blocks of queries meet every shard. An empty table gives an empty result.
+    nor do null ids. Rows that repeat vec_id and vector are one row. Rows that share a vec_id but not the vector are one
+    candidate and one query, whose distance is the smallest of theirs; they are no candidates of one another. Equal
+    vectors are indexed once with their k + 1 smallest ids, which are all that any answer can need. Every distinct vector
+    is indexed, in shards that a task can hold; blocks of queries meet every shard. Other columns are not read; an empty
+    table gives an empty result.
     """
     doubles = F.transform("embedding", lambda x: x.cast("double"))
     fit = "v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)"
-    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("v")).where("vec_id IS NOT NULL").where(fit)
+    clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("v")).where("vec_id IS NOT NULL").where(fit).distinct()
     shape = clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if shape is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -92,7 +92,13 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, forest: Forest
             ids, names = index["ids"].to_pylist(), queries["vec_id"].to_pylist()
             for q, found in enumerate(search(x, y, forest)):
                 far = np.sqrt(((x[found] - y[q]) ** 2).sum(axis=1))
-                keep = far <= np.partition(far, k)[k] if len(far) > k else np.ones(len(far), bool)  # k besides the query's own vector
+                want, near = k, {}
+                while True:  # until there are k ids besides the query's own, and all that tie with the last
+                    keep = np.flatnonzero(far <= np.partition(far, want)[want]) if len(far) > want else np.arange(len(far))
+                    near = {v for i in found[keep].tolist() for v in ids[i]} - {names[q]}
+                    if len(near) >= k or len(keep) == len(far):
+                        break
+                    want *= 2
                 for i, s in zip(found[keep].tolist(), far[keep].tolist(), strict=True):
                     for v in ids[i]:
                         if v != names[q]:
@@ -101,4 +107,4 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, forest: Forest
 
     found = asked.groupBy("shard", "block").cogroup(points.groupBy("shard", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
