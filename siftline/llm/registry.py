@@ -46,12 +46,16 @@ WITH l AS (
   SELECT doc_id, i - 1 AS no, string_split(text, chr(10))[i] AS line, trim(regexp_replace(string_split(text, chr(10))[i], '[\t\r\x0B\f]', ' ', 'g')) AS t
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)),
 s AS (SELECT doc_id, no, t, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k FROM l WHERE t <> ''),
+z AS (SELECT *, len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) AS w, length(t) AS c FROM s),
+v AS (
+  SELECT doc_id, k, no AS n1, lead(no) OVER o AS n2, lead(no, 2) OVER o AS n3, t AS t1, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3, w AS w1, w + lead(w) OVER o AS w2, c AS c1, c + lead(c) OVER o AS c2
+  FROM z WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
 w AS (
-  SELECT doc_id, k, no AS n1, lead(no) OVER o AS n2, lead(no, 2) OVER o AS n3, t AS t1, lead(t) OVER o AS t2, lead(t, 2) OVER o AS t3
-  FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY no)),
-r AS (
-  SELECT doc_id, n1, n2, n3, row_number() OVER (PARTITION BY t1, t2, t3 ORDER BY doc_id, k) AS nth FROM w WHERE n3 IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest([n1, n2, n3]) AS no FROM r WHERE nth > 1),
+  SELECT doc_id, k, [n1, n2, n3] AS nos, [t1, t2, t3] AS ts FROM v WHERE n3 IS NOT NULL
+  UNION ALL SELECT doc_id, k, [n1, n2], [t1, t2] FROM v WHERE n2 IS NOT NULL AND (w2 >= 50 OR c2 >= 300)
+  UNION ALL SELECT doc_id, k, [n1], [t1] FROM v WHERE w1 >= 50 OR c1 >= 300),
+r AS (SELECT doc_id, nos, row_number() OVER (PARTITION BY ts ORDER BY doc_id, k) AS nth FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(nos) AS no FROM r WHERE nth > 1),
 k AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (g.no IS NULL) AS kept, count(*) AS n_lines, count(g.no) AS n_removed
   FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
