@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
+from ..session import staged
 from .lookup import containing, tests_of_stem
 from .search import top_k
 
@@ -144,11 +145,11 @@ def expanded(queries: DataFrame, seeds: DataFrame, chunks: DataFrame, aliases: l
         if hop == 1:
             steps["config"] = configurations(wants("find_config"), chunks)
         found = [df.withColumn("hop", F.lit(hop)).withColumn("type", F.lit(kind)) for kind, df in steps.items()]
-        own = reduce(DataFrame.unionByName, found)
+        own = staged(reduce(DataFrame.unionByName, found), f"hop{hop}")
         out.append(own)
         fresh = own.where("type <> 'config'").select("query_id", "id").distinct().join(known, ["query_id", "id"], "left_anti")
         known = known.unionByName(fresh)
-        now = top_k(fresh, ["query_id"], ["id"], frontier).drop("rank")
+        now = staged(top_k(fresh, ["query_id"], ["id"], frontier).drop("rank"), f"frontier{hop}")
     every = reduce(DataFrame.unionByName, out).groupBy("query_id", "type", "src_file", "id", "dst_file").agg(F.min("hop").alias("hop"), F.min("reason").alias("reason"))
     part = lambda i: F.create_map(*[x for k, v in BRINGS.items() for x in (F.lit(k), F.lit(v[0]) if i == "keyword" else F.lit(1.0 if v[1] == i else 0.0))])[F.col("type")]
     return every.select("query_id", "hop", "type", "src_file", "id", "dst_file", "reason", part("keyword").alias("keyword"), part("dependency").alias("dependency"), part("reference").alias("reference"))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp01, round_at, tokens
@@ -12,6 +20,8 @@ from ..functions.text import clamp01, round_at, tokens
 WEIGHTS = {"semantic": 0.70, "keyword": 0.20, "symbol": 0.10, "path": 0.05, "structural": 0.05, "dependency": 0.08, "reference": 0.08, "test": 0.03, "recency": 0.02}
 #: A side of at most so many rows is broadcast; a larger one is left to the planner.
 BROADCAST_ROWS = 100_000
+#: Numbers of a matrix of queries that goes out to the tasks; more queries take several passes.
+CELLS = 1 << 23
 
 
 def dot(a, b) -> Column:
@@ -24,14 +34,50 @@ def top_k(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("int")).where(F.col(rank) <= k)
 
 
+def _blocks(rows: list, width: int) -> list[list]:
+    """Queries in parts whose matrix of that width has at most CELLS numbers."""
+    size = max(1, CELLS // max(1, width))
+    return [rows[i : i + size] for i in range(0, len(rows), size)]
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries(query_id, q) against vectors(vec_id, embedding): the k best by dot product, ties to the smaller id.
+    """queries(query_id, q) against vectors(vec_id, embedding): query_id, vec_id, score and rank of the k best by dot product
+    in double precision, ties to the smaller id.
 
-    The stated query set meets all vectors; it is broadcast as the side of the loop only while its size is checked.
+    The stated query set meets all vectors in blocks of CELLS numbers: one matrix product a batch, of which a task keeps k
+    rows a query, so hardly anything is shuffled. Vectors of another length than the query's are left out.
     """
-    side = F.broadcast(queries) if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else queries
-    scored = vectors.select("vec_id", "embedding").crossJoin(side).select("query_id", "vec_id", dot("embedding", "q").alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), "vec_id"], k)
+    asked = [(r.query_id, r.q) for r in queries.select("query_id", "q").where("q IS NOT NULL AND query_id IS NOT NULL").collect()]
+    named = to_arrow_type(queries.schema["query_id"].dataType)
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+    parts = []
+    for width in sorted({len(q) for _, q in asked}):
+        for block in _blocks([x for x in asked if len(x[1]) == width], width):
+            names, matrix = [n for n, _ in block], np.array([q for _, q in block], np.float64)
+
+            def work(batches, names=names, matrix=matrix, width=width):
+                for batch in batches:
+                    rows = pc.list_value_length(batch.column(1))
+                    batch = batch.filter(pc.and_(pc.equal(rows, width).fill_null(False), pc.is_valid(batch.column(0))))
+                    if not len(batch):
+                        continue
+                    x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(batch), width)
+                    ids = np.asarray(batch.column(0))
+                    near = matrix @ x.T
+                    out: list[list] = [[], [], []]
+                    for i in range(len(names)):
+                        own = np.flatnonzero(near[i] >= (np.partition(near[i], -k)[-k] if len(ids) > k else -np.inf) - 1e-9)
+                        exact = (x[own] * matrix[i]).sum(axis=1)  # the same sum for the same vector wherever it stands
+                        best = own[(order := np.lexsort((ids[own], -exact))[:k])]
+                        out[0] += [names[i]] * len(best)
+                        out[1] += ids[best].tolist()
+                        out[2] += exact[order].tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], named), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+            parts.append(vectors.select("vec_id", "embedding").mapInArrow(work, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kinds[0]}, vec_id {kinds[1]}, score double, rank int")
+    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -40,17 +86,87 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl")
 
 
+_WORD = re.compile(r"[a-z0-9_]{3,}")
+
+
+def _terms_of(queries: DataFrame) -> dict:
+    return {r.query_id: list(r.terms) for r in queries.where("query_id IS NOT NULL").select("query_id", F.array_distinct(tokens("text")).alias("terms")).collect()}
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """queries(query_id, text) -> query_id, doc_id, score, rank; the terms meet the postings by an equi-join."""
-    index = postings(docs)
-    totals = docs.select(F.size(tokens("text")).alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("dl") / F.col("avgdl")))
-    matched = index.join(terms, "term").join(df, "term").crossJoin(F.broadcast(totals))
-    scored = matched.groupBy("query_id", "doc_id").agg(round_at(F.sum(idf * tf), 4).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), "doc_id"], k)
+    """queries(query_id, text) -> query_id, doc_id, score (four digits) and rank of the k best of docs(doc_id, text), ties to
+    the smaller id.
+
+    Only the queries' own terms are looked at. One pass counts in how many texts each occurs, a second scores every text
+    against a block of queries by a matrix product, of which a task keeps k rows a query. Neither shuffles the texts.
+    """
+    asked = {q: t for q, t in _terms_of(queries).items() if t}
+    named = to_arrow_type(queries.schema["query_id"].dataType)
+    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    if not asked:
+        return docs.sparkSession.createDataFrame([], f"{schema}, rank int")
+    wanted = {t: i for i, t in enumerate(sorted({t for ts in asked.values() for t in ts}))}
+
+    def count(batches):
+        total = np.zeros(len(wanted) + 2, np.int64)
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                if text is not None:
+                    found = _WORD.findall(text.lower())
+                    total[[wanted[w] for w in set(found) if w in wanted]] += 1
+                    total[-2:] += 1, len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["at", "n"])
+
+    rows = docs.select("doc_id", "text")
+    stats = np.zeros(len(wanted) + 2)
+    for r in rows.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        stats[r["at"]] = r.n
+    df, n, mean = stats[:-2], stats[-2], stats[-1] / max(1.0, stats[-2])
+    idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+    parts = []
+    for block in _blocks(list(asked.items()), len(wanted)):
+        terms = sorted({t for _, ts in block for t in ts})
+        column, names = {t: i for i, t in enumerate(terms)}, [q for q, _ in block]
+        matrix = np.zeros((len(terms), len(block)))
+        for j, (_, ts) in enumerate(block):
+            matrix[[column[t] for t in ts], j] = idf[[wanted[t] for t in ts]]
+
+        def score(batches, column=column, names=names, matrix=matrix):
+            for batch in batches:
+                batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
+                out: list[list] = [[], [], []]
+                for at in range(0, len(batch), 512):
+                    part = batch.slice(at, 512)
+                    weight = np.zeros((len(part), len(column)))
+                    for i, text in enumerate(part.column(1).to_pylist()):
+                        found = _WORD.findall(text.lower())
+                        for w, tf in Counter(w for w in found if w in column).items():
+                            weight[i, column[w]] = tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * len(found) / mean))
+                    scores, ids = np.floor(weight @ matrix * 10_000 + 0.5) / 10_000, np.asarray(part.column(0))
+                    hit = weight.astype(bool).astype(np.float64) @ matrix.astype(bool)
+                    for j, name in enumerate(names):
+                        own = np.flatnonzero(hit[:, j])
+                        best = own[np.lexsort((ids[own], -scores[own, j]))[:k]]
+                        out[0] += [name] * len(best)
+                        out[1] += ids[best].tolist()
+                        out[2] += scores[best, j].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], named), pa.array(out[1], batch.schema.field(0).type), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
+
+        parts.append(rows.mapInArrow(score, schema))
+    return top_k(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("score"), "doc_id"], k)
+
+
+def idf_share(pool: DataFrame, facets: DataFrame) -> DataFrame:
+    """(facet, doc_id, share) of pool(facet, doc_id, text): the part of a facet's words (facets(facet, text)) that a text of its
+    pool has, each weighted by ln(1 + pool / (texts of the pool with it + 1)). Pools are bounded by what found them."""
+    wanted = facets.select("facet", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    hits = pool.select("facet", "doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).join(wanted, ["facet", "term"])
+    df = hits.groupBy("facet", "term").agg(F.count("*").alias("df"))
+    size = pool.groupBy("facet").agg(F.count("*").cast("double").alias("pool"))
+    idf = wanted.join(size, "facet").join(df, ["facet", "term"], "left").withColumn("idf", F.log(1 + F.col("pool") / (F.coalesce("df", F.lit(0)) + 1)))
+    idf = idf.withColumn("total", F.sum("idf").over(Window.partitionBy("facet"))).select("facet", "term", "idf", "total")
+    return hits.join(idf, ["facet", "term"]).groupBy("facet", "doc_id").agg(round_at(F.sum("idf") / F.max("total"), 4).alias("share"))
 
 
 def combined(signals: dict[str, Column], factor: Column | None = None, floor: Column | None = None) -> Column:
@@ -75,13 +191,24 @@ def gap_cut(rows: DataFrame, by: str, gap: float = 0.15) -> DataFrame:
     return stepped.groupBy(by).agg(F.coalesce(cut, F.lit(0.0)).alias("floor"))
 
 
+def near_duplicate_classes(docs: DataFrame, by: str, least: int = 12) -> DataFrame:
+    """(by, doc_id, class_id): rows of one group with the same distinct words, at least so many, are a class; its id is its
+    smallest doc_id."""
+    sets = docs.select("doc_id", by, F.array_sort(F.array_distinct(tokens("text"))).alias("w")).where(F.size("w") >= least)
+    keyed = sets.select("doc_id", by, F.sha2(F.array_join("w", " "), 256).alias("_k"))
+    low = keyed.groupBy(by, "_k").agg(F.min("doc_id").alias("class_id"))
+    return keyed.join(low, [by, "_k"]).select(by, "doc_id", "class_id")
+
+
 def near_duplicate_pairs(docs: DataFrame, by: str, percent: int = 80, least: int = 12) -> DataFrame:
-    """(a, b, shared) of rows of one group whose distinct words have that similarity, both with at least so many.
+    """(a, b, shared) of classes of one group (see near_duplicate_classes()) whose distinct words have that similarity.
 
-    A pair of that similarity shares a word among the rarest of each: only those prefixes are joined, sizes and whole
-    word sets are compared after it. A word is a prefix word of few rows, so no frequent word pairs its rows.
+    Equal sets stand in the search once, so copies are never paired. A pair of that similarity shares a word among the
+    rarest of each: only those prefixes are joined, sizes and whole word sets are compared after it.
     """
-    sets = docs.select("doc_id", by, F.array_distinct(tokens("text")).alias("w")).where(F.size("w") >= least)
+    every = near_duplicate_classes(docs, by, least)
+    own = docs.join(every.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = own.select("doc_id", by, F.array_distinct(tokens("text")).alias("w")).where(F.size("w") >= least)
     words = sets.select("doc_id", by, F.size("w").alias("n"), F.explode("w").alias("word"))
     df = words.groupBy(by, "word").agg(F.count("*").alias("df"))
     rare = Window.partitionBy("doc_id").orderBy("df", "word")
@@ -96,16 +223,25 @@ def near_duplicate_pairs(docs: DataFrame, by: str, percent: int = 80, least: int
 def interval_overlaps(rows: DataFrame, by: str, share: float = 0.5) -> DataFrame:
     """(a, b) of intervals (id, lo, hi) of one group that share at least that part of the shorter one; b starts at or after a.
 
-    Intervals are dealt to the buckets they touch, as wide as the longest common size, and meet only there.
+    Intervals are sorted into tiers by the power of two of their length, and dealt within a tier to the buckets of that
+    width that they touch, three at most. An interval meets those of its own and of every longer tier in the buckets of that
+    tier, so a few very long ones are not dealt to many buckets, and no group is one key.
     """
-    wide = rows.where("hi > lo").withColumn("len", F.col("hi") - F.col("lo"))
-    width = wide.agg(F.percentile_approx("len", 0.99).alias("w")).first().w or 1
-    dealt = wide.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    a = dealt.select(by, "bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "lo", "hi", "len")])
-    b = dealt.select(by, "bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", "lo", "hi", "len")])
-    shared = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")
-    ordered = (F.col("a_lo") < F.col("b_lo")) | ((F.col("a_lo") == F.col("b_lo")) & (F.col("a_id") < F.col("b_id")))
-    return a.join(b, [by, "bucket"]).where(ordered & (shared >= share * F.least("a_len", "b_len"))).select(by, F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    size = F.col("hi") - F.col("lo")
+    tier = F.ceil(F.log2(size.cast("double"))).cast("int")
+    wide = rows.where("hi > lo").select(by, "id", "lo", "hi", tier.alias("tier"))
+    tiers = sorted(r.tier for r in wide.select("tier").distinct().collect())
+    known = F.array(*[F.lit(t) for t in tiers]) if tiers else F.array().cast("array<int>")
+    buckets = lambda t: F.sequence(F.floor(F.col("lo") / F.pow(F.lit(2.0), t)), F.floor(F.col("hi") / F.pow(F.lit(2.0), t)))
+    own = wide.select(by, "id", "lo", "hi", "tier", F.explode(buckets(F.col("tier"))).alias("bucket"))
+    seen = wide.select(by, "id", "lo", "hi", F.col("tier").alias("own"), F.explode(F.filter(known, lambda t: t >= F.col("tier"))).alias("tier")).select(by, "id", "lo", "hi", "own", "tier", F.explode(buckets(F.col("tier"))).alias("bucket"))
+    x = seen.select(by, "tier", "bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "lo", "hi", "own")])
+    y = own.select(by, "tier", "bucket", *[F.col(c).alias(f"y_{c}") for c in ("id", "lo", "hi")])
+    first = (F.col("x_lo") < F.col("y_lo")) | ((F.col("x_lo") == F.col("y_lo")) & (F.col("x_id") < F.col("y_id")))
+    shared = F.least("x_hi", "y_hi") - F.greatest("x_lo", "y_lo")
+    enough = shared >= share * F.least(F.col("x_hi") - F.col("x_lo"), F.col("y_hi") - F.col("y_lo"))
+    met = x.join(y, [by, "tier", "bucket"]).where((F.col("x_id") != F.col("y_id")) & ((F.col("x_own") < F.col("tier")) | first) & enough)
+    return met.select(by, F.when(first, F.col("x_id")).otherwise(F.col("y_id")).alias("a"), F.when(first, F.col("y_id")).otherwise(F.col("x_id")).alias("b")).distinct()
 
 
 def expand(frontier: DataFrame, edges: DataFrame, fan_out: int, hops: int) -> DataFrame:

@@ -136,9 +136,7 @@ def symbol_score(symbol: str | None, parent: str | None, kind: str | None, path:
     return 1.0 if sure and (how == "literal" or (defines and not in_test)) else 0.5
 
 
-@F.pandas_udf("named double, path double, symbol double")
-def naming(path: pd.Series, symbol: pd.Series, parent: pd.Series, kind: pd.Series, query: pd.Series, specific: pd.Series) -> pd.DataFrame:
-    """file_named(), path_score() and symbol_score() of every row; specific lists the words that name its file alone."""
+def _names(path: pd.Series, symbol: pd.Series, parent: pd.Series, kind: pd.Series, query: pd.Series, specific: pd.Series) -> pd.DataFrame:
     rows = []
     for p, s, c, k, q, w in zip(path, symbol, parent, kind, query, specific, strict=True):
         own, only = asked(q), frozenset(w if w is not None else ())
@@ -146,6 +144,12 @@ def naming(path: pd.Series, symbol: pd.Series, parent: pd.Series, kind: pd.Serie
     return pd.DataFrame(rows, columns=["named", "path", "symbol"])
 
 
+def naming(*columns: str) -> Column:
+    """file_named(), path_score() and symbol_score() as named, path and symbol, of the columns path, symbol, parent, kind, query and
+    specific, the words that name the file alone."""
+    return F.pandas_udf(_names, "named double, path double, symbol double")(*columns)
+
+
 def specific_words(files: DataFrame) -> DataFrame:
     """(file_path, words): for code files the words of their names, of four letters or more, that no other code file's name has."""
     from ..functions.words import GENERIC_PATH

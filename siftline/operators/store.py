@@ -51,11 +51,30 @@ def embedding_reuse(new: DataFrame, old: DataFrame) -> DataFrame:
     return joined.select("id", F.when(F.col("_same") == F.col("content_hash"), "id").when(F.col("_there"), "content").otherwise("embed").alias("source"))
 
 
-def evenly_spaced(rows: DataFrame, key: str, k: int = 32) -> DataFrame:
-    """The keys at floor(i * n / k) in sorted order, all where n <= k."""
-    n = rows.count()
-    if n <= k:
-        return rows.select(key)
-    wanted = [i * n // k for i in range(k)]
-    ranked = rows.select(key).sort(key).limit(wanted[-1] + 1) if n <= 100_000 else rows.select(key)
-    return ranked.withColumn("_i", F.row_number().over(Window.orderBy(key)) - 1).where(F.col("_i").isin(wanted)).drop("_i")
+def evenly_spaced(rows: DataFrame, key: str, k: int = 32, cuts: int = 256) -> DataFrame:
+    """The keys at floor(i * n / k) in sorted order, all where n <= k.
+
+    Bounds drawn from the keys by a hash cut them into ranges; counts by range tell which ranges hold a wanted place, and
+    only those are numbered, each on its own. Repeated keys are as many places.
+    """
+    own = rows.select(key).where(F.col(key).isNotNull())
+    drawn = [r[0] for r in own.distinct().orderBy(F.xxhash64(key), key).limit(cuts).collect()]
+    bounds = F.array(*[F.lit(x) for x in sorted(drawn)]) if drawn else None
+    at = F.size(F.filter(bounds, lambda b: b <= F.col(key))) if drawn else F.lit(0)
+    ranged = own.withColumn("_at", at)
+    counts = {r["_at"]: r["n"] for r in ranged.groupBy("_at").agg(F.count("*").alias("n")).collect()}
+    n, before, wanted = sum(counts.values()), 0, []
+    places = sorted({i * n // k for i in range(k)}) if n > k else range(n)
+    for r in sorted(counts):
+        wanted += [(r, p - before + 1) for p in places if before <= p < before + counts[r]]
+        before += counts[r]
+    nth = F.row_number().over(Window.partitionBy("_at").orderBy(key))
+    numbered = ranged.where(F.col("_at").isin([r for r, _ in wanted])).withColumn("_n", nth)
+    asked = rows.sparkSession.createDataFrame(wanted, "_at int, _n int")
+    return numbered.join(F.broadcast(asked), ["_at", "_n"]).select(key)
+
+
+def update_lines(base: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves(id, start_line, end_line): chunks get new line ranges, everything else stays."""
+    joined = base.join(moves.select(F.col("id").alias("_id"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b")), F.col("id") == F.col("_id"), "left")
+    return joined.withColumns({"start_line": F.coalesce("_a", "start_line"), "end_line": F.coalesce("_b", "end_line")}).drop("_id", "_a", "_b")

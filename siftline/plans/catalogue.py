@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import evaluate, search, store
-from ..sources.repo import MAX_BYTES
+from ..operators import embed, evaluate, lookup, search, store, usage
+from ..sources.repo import MAX_BYTES, SECRET_TEXT, SNIFF
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -41,13 +39,11 @@ def scan_project(t) -> DataFrame:
     return t("documents").select("doc_id", _path().alias("file_path"), P.extension(_path()).alias("ext"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
-SECRET = r"(?i)(api[_-]?key|secret|token|password)\s*[=:]\s*[\"'][^\"']{8,}"
-
-
-@query(rf"SELECT doc_id, n_chars FROM documents WHERE length(text) <= 20000 AND instr(text, chr(0)) = 0 AND NOT regexp_matches(text, '{SECRET.replace(chr(39), chr(39) * 2)}')")
+@query(rf"""SELECT doc_id, n_chars FROM documents WHERE strlen(text) <= {MAX_BYTES} AND (instr(text, chr(0)) = 0 OR strlen(substr(text, 1, instr(text, chr(0)))) > {SNIFF}) AND NOT regexp_matches(text, '{SECRET_TEXT.pattern.replace(chr(39), chr(39) * 2)}')""")
 def admission_filter(t) -> DataFrame:
     text = F.col("text")
-    return t("documents").where((F.octet_length(text) <= MAX_BYTES) & (F.instr(text, "\0") == 0) & ~text.rlike(SECRET)).select("doc_id", "n_chars")
+    binary = F.contains(F.substring(F.encode(text, "UTF-8"), 1, SNIFF), F.lit(b"\0"))
+    return t("documents").where((F.octet_length(text) <= MAX_BYTES) & ~binary & ~text.rlike(SECRET_TEXT.pattern)).select("doc_id", "n_chars")
 
 
 @query("""SELECT 'eq' AS pred, count(*) AS n FROM part WHERE p_brand = 'Brand#12' UNION ALL SELECT 'in', count(*) FROM part WHERE p_size IN (1, 2, 3) UNION ALL
@@ -82,11 +78,12 @@ c AS (SELECT *, sum(len + 1) OVER (PARTITION BY doc_id ORDER BY i) AS cs FROM l)
 f AS (SELECT a.doc_id, a.i, a.len, a.n, max(b.i) AS fit FROM c a JOIN c b ON a.doc_id = b.doc_id AND (b.i = a.i OR b.i > a.i AND b.cs - a.cs + a.len + 1 <= 800) GROUP BY ALL),
 x AS (SELECT *, CASE WHEN len > 800 THEN i + 1 WHEN fit + 1 >= n THEN n WHEN fit + 1 - 2 > i THEN fit + 1 - 2 ELSE fit + 1 END AS nxt FROM f),
 w AS (SELECT doc_id, i, len, fit, nxt, n FROM x WHERE i = 0 UNION ALL SELECT x.doc_id, x.i, x.len, x.fit, x.nxt, x.n FROM w JOIN x ON x.doc_id = w.doc_id AND x.i = w.nxt WHERE w.nxt < w.n)
-SELECT doc_id, CAST(i + 1 AS BIGINT) AS start_line, CAST(CASE WHEN len > 800 THEN i + 1 ELSE fit + 1 END AS BIGINT) AS end_line, CAST(CASE WHEN len > 800 THEN ceil(len / 800.0) ELSE 1 END AS BIGINT) AS pieces FROM w""")
+SELECT w.doc_id, CAST(i + 1 AS BIGINT) AS start_line, CAST(CASE WHEN len > 800 THEN i + 1 ELSE fit + 1 END AS BIGINT) AS end_line, sha256(CASE WHEN len > 800 THEN substr(lines[i + 1], p * 800 + 1, 800) ELSE array_to_string(lines[i + 1 : fit + 1], chr(10)) END) AS content
+FROM (SELECT *, unnest(range(0, CASE WHEN len > 800 THEN CAST(ceil(len / 800.0) AS INT) ELSE 1 END)) AS p FROM w) w JOIN (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) t ON t.doc_id = w.doc_id""")
 def text_windows(t) -> DataFrame:
     from ..operators.chunks import text_windows as windows
 
-    return windows(t("documents"), "doc_id", 800, 2).groupBy("doc_id", "start_line", "end_line").agg(F.count("*").alias("pieces"))
+    return windows(t("documents"), "doc_id", 800, 2).select("doc_id", "start_line", "end_line", F.sha2("content", 256).alias("content"))
 
 
 _OLD = "SELECT CAST(doc_id AS VARCHAR) AS file_path, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0"
@@ -105,12 +102,12 @@ def hash_diff(t) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT doc_id AS id, source AS file_path, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id AS id, source AS file_path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'y' ELSE text END) AS h FROM documents)
-SELECT source, count(*) AS n FROM (SELECT CASE WHEN o.h = n.h THEN 'id' WHEN EXISTS (SELECT 1 FROM o p WHERE p.file_path = n.file_path AND p.h = n.h) THEN 'content' ELSE 'embed' END AS source FROM n LEFT JOIN o ON o.id = n.id) GROUP BY source""")
+SELECT n.id, CASE WHEN o.h = n.h THEN 'id' WHEN EXISTS (SELECT 1 FROM o p WHERE p.file_path = n.file_path AND p.h = n.h) THEN 'content' ELSE 'embed' END AS source FROM n LEFT JOIN o ON o.id = n.id""")
 def embedding_reuse(t) -> DataFrame:
     d = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), "text")
     old = d.where("id % 3 <> 0").select("id", "file_path", F.sha2("text", 256).alias("content_hash"))
     new = d.select("id", "file_path", F.sha2(F.when(F.expr("id % 5 = 0"), F.concat("text", F.lit("y"))).otherwise(F.col("text")), 256).alias("content_hash"))
-    return store.embedding_reuse(new, old).groupBy("source").agg(F.count("*").alias("n"))
+    return store.embedding_reuse(new, old)
 
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
@@ -120,12 +117,12 @@ def stale_ids(t) -> DataFrame:
 
 @query("""WITH b AS (SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus, 1 AS seq FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, o_custkey, 'Y', 2 FROM orders WHERE o_orderkey % 8 = 0 UNION ALL SELECT o_orderkey + 100000000, o_custkey, 'N', 3 FROM orders WHERE o_orderkey % 100 = 0),
 n AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) = 1)
-SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM n) GROUP BY 1""")
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus FROM n""")
 def upsert_last_wins(t) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     changed = lambda rows, status, seq: rows.withColumn("o_orderstatus", F.lit(status)).withColumn("seq", F.lit(seq))
     batch = changed(o.where("o_orderkey % 4 = 0"), "X", 1).unionByName(changed(o.where("o_orderkey % 8 = 0"), "Y", 2)).unionByName(changed(o.where("o_orderkey % 100 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 100000000), "N", 3))
-    return store.upsert(o, batch, ["o_orderkey"], "seq").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").cast("long").alias("keys"))
+    return store.upsert(o, batch, ["o_orderkey"], "seq")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'renamed/' || s_name ELSE s_name END AS s_name, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_nationkey END AS s_nationkey FROM supplier WHERE s_nationkey <> 7 AND s_suppkey % 5 <> 0""")
@@ -141,25 +138,25 @@ def _asked_vectors(t):
     return t("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-def _vector_sql(n, k):
+def _vector_sql(k):
     return f"""SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS INTEGER) AS rank
-FROM embeddings q, embeddings e WHERE q.vec_id < {n} QUALIFY rank <= {k}"""
+FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= {k}"""
 
 
-@query(_vector_sql(1, 20))
+@query(_vector_sql(20))
 def vector_topk(t) -> DataFrame:
     return search.vector_top_k(_asked_vectors(t), t("embeddings"), 20).select("query_id", "vec_id", "rank")
 
 
-@query(_vector_sql(50, 10))
+@query(_vector_sql(10))
 def vector_topk_batch(t) -> DataFrame:
     return search.vector_top_k(_asked_vectors(t), t("embeddings"), 10).select("query_id", "vec_id", "rank")
 
 
-def _bm25_sql(items, k):
+def _bm25_sql(k):
     return f"""b_w AS (SELECT doc_id, {_TOK} AS w FROM documents), b_p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM b_w), b_tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM b_p GROUP BY ALL),
 b_n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM b_w), b_df AS (SELECT term, count(*) AS df FROM b_tf GROUP BY term),
-b_q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark WHERE {items}),
+b_q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark),
 bm AS (SELECT query_id, doc_id, floor(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 10000 + 0.5) / 10000 AS score FROM b_tf JOIN b_q USING (term) JOIN b_df USING (term), b_n GROUP BY ALL),
 bk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= {k})"""
 
@@ -168,12 +165,12 @@ def _items(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query(f"WITH {_bm25_sql('item_id < 5', 10)} SELECT query_id, doc_id, score, rank FROM bk")
+@query(f"WITH {_bm25_sql(10)} SELECT query_id, doc_id, score, rank FROM bk")
 def bm25_topk(t) -> DataFrame:
     return search.bm25(t("documents"), _items(t), 10)
 
 
-@query(f"WITH {_bm25_sql('item_id < 5', 20)} SELECT query_id, doc_id, floor(score / greatest(max(score) OVER (PARTITION BY query_id), 1e-9) * 1000 + 0.5) / 1000 AS keyword FROM bk")
+@query(f"WITH {_bm25_sql(20)} SELECT query_id, doc_id, floor(score / greatest(max(score) OVER (PARTITION BY query_id), 1e-9) * 1000 + 0.5) / 1000 AS keyword FROM bk")
 def bm25_normalised(t) -> DataFrame:
     top = F.greatest(F.max("score").over(Window.partitionBy("query_id")), F.lit(1e-9))
     return search.bm25(t("documents"), _items(t), 20).select("query_id", "doc_id", T.round_at(T.clamp01(F.col("score") / top), 3).alias("keyword"))
@@ -224,12 +221,20 @@ def diversity_caps(t) -> DataFrame:
     return search.top_k(capped, ["query_id"], [F.desc("total"), "id"], 10).select("query_id", "id", "rank")
 
 
-@query(f"""WITH s AS (SELECT doc_id, source, list_distinct({_TOK}) AS w FROM documents), k AS (SELECT * FROM s WHERE len(w) >= 12)
-SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared FROM k a JOIN k b ON a.source = b.source AND a.doc_id < b.doc_id WHERE 100 * len(list_intersect(a.w, b.w)) >= 80 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
+_CLASSES = f"""s AS (SELECT doc_id, source, list_sort(list_distinct({_TOK})) AS w FROM documents), k AS (SELECT *, min(doc_id) OVER (PARTITION BY source, w) AS class_id FROM s WHERE len(w) >= 12)"""
+
+
+@query(f"""WITH {_CLASSES}, r AS (SELECT * FROM k WHERE doc_id = class_id)
+SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.w, b.w)) AS BIGINT) AS shared FROM r a JOIN r b ON a.source = b.source AND a.doc_id < b.doc_id WHERE 100 * len(list_intersect(a.w, b.w)) >= 80 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
 def near_duplicates(t) -> DataFrame:
     return search.near_duplicate_pairs(t("documents"), "source")
 
 
+@query(f"WITH {_CLASSES} SELECT source, doc_id, class_id FROM k")
+def near_duplicate_classes(t) -> DataFrame:
+    return search.near_duplicate_classes(t("documents"), "source")
+
+
 @query("""WITH i AS (SELECT event_id, user_id, epoch_us(ts) AS lo, epoch_us(ts) + CAST(floor(value * 600) AS BIGINT) * 1000000 AS hi FROM events WHERE value IS NOT NULL), k AS (SELECT * FROM i WHERE hi > lo)
 SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM k a JOIN k b ON a.user_id = b.user_id AND (a.lo < b.lo OR a.lo = b.lo AND a.event_id < b.event_id) WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 0.5 * least(a.hi - a.lo, b.hi - b.lo)""")
 def interval_overlap(t) -> DataFrame:
@@ -247,31 +252,6 @@ def score_gap_cut(t) -> DataFrame:
     return search.gap_cut(rows, "source")
 
 
-_NAMES = "(VALUES ('goldenrod'), ('blue'), ('Part#1'), ('part 1'))"
-
-
-@query("""WITH q AS (SELECT p_name AS name FROM part WHERE p_partkey % 50 = 1 UNION ALL SELECT substr(p_name, 1, length(p_name) - 1) FROM part WHERE p_partkey % 50 = 2),
-e AS (SELECT DISTINCT q.name, p_partkey, TRUE AS exact FROM q JOIN part ON p_name = q.name), f AS (SELECT DISTINCT q.name, p_partkey, FALSE AS exact FROM q JOIN part ON contains(p_name, q.name) WHERE q.name NOT IN (SELECT name FROM e)),
-u AS (SELECT * FROM e UNION ALL SELECT * FROM f) SELECT name, p_partkey, exact FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY p_partkey) <= 20""")
-def symbol_lookup(t) -> DataFrame:
-    p = t("part").select("p_partkey", "p_name")
-    cut = F.expr("substr(p_name, 1, length(p_name) - 1)")
-    asked = p.select(F.col("p_name").alias("name")).unionByName(p.select(cut.alias("name"))).distinct()
-    exact = p.join(asked, F.col("p_name") == F.col("name")).select("name", "p_partkey", F.lit(True).alias("exact"))
-    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
-    open_ = asked.join(exact.select("name").distinct(), "name", "left_anti")
-    fuzzy = []
-    for n in (8, 4, 2, 1):  # names of at least 8 characters by grams of 8, shorter ones by smaller grams
-        wanted = open_.where((F.length("name") >= n) & (F.length("name") < (2 * n if n < 8 else 1 << 30)))
-        index = p.select("p_partkey", "p_name", F.explode(grams(F.col("p_name"), n)).alias("gram"))
-        times = index.groupBy("gram").agg(F.count("*").alias("times"))
-        rarest = wanted.select("name", F.explode(grams(F.col("name"), n)).alias("gram")).join(times, "gram").groupBy("name").agg(F.min_by("gram", F.struct("times", "gram")).alias("gram"))
-        fuzzy.append(index.join(rarest, "gram").where(F.col("p_name").contains(F.col("name"))).select("name", "p_partkey"))
-    fuzzy.append(p.crossJoin(open_.where("name = ''")).where("p_name IS NOT NULL").select("name", "p_partkey"))
-    fuzzy = reduce(DataFrame.unionByName, fuzzy).withColumn("exact", F.lit(False))
-    return search.top_k(exact.unionByName(fuzzy), ["name"], ["p_partkey"], 20).select("name", "p_partkey", "exact")
-
-
 @query(f"""WITH q AS (SELECT item_id, {_TOK}[1] AS term FROM benchmark), p AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY ALL), m AS (SELECT item_id, term, doc_id, n FROM q JOIN p USING (term))
 SELECT item_id, term, count(*) AS files, CAST(sum(n) AS BIGINT) AS occurrences, count(*) <= 4 AS rare FROM m GROUP BY ALL""")
 def references(t) -> DataFrame:
@@ -309,19 +289,14 @@ def graph_expand_2hop(t) -> DataFrame:
     return found.select(F.concat("id.kind", F.col("id.key").cast("string")).alias("id"), "hop")
 
 
-_FACET = f"""f AS (SELECT item_id AS facet, unnest(list_distinct({_TOK})) AS term FROM benchmark WHERE item_id < 3), d AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), p AS (SELECT count(*) AS pool FROM documents),
-i AS (SELECT facet, f.term, ln(1 + max(pool) / (count(d.doc_id) + 1)) AS idf FROM f LEFT JOIN d USING (term), p GROUP BY ALL), s AS (SELECT facet, sum(idf) AS total FROM i GROUP BY facet),
-r AS (SELECT facet, doc_id, floor(sum(idf) / max(total) * 10000 + 0.5) / 10000 AS share FROM i JOIN d USING (term) JOIN s USING (facet) GROUP BY ALL)"""
+_FACET = f"""{_bm25_sql(20)}, f AS (SELECT item_id AS facet, unnest(list_distinct({_TOK})) AS term FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS term FROM documents), p AS (SELECT query_id AS facet, count(*) AS pool FROM bk GROUP BY 1),
+h AS (SELECT query_id AS facet, doc_id, term FROM bk JOIN d USING (doc_id)), i AS (SELECT f.facet, f.term, ln(1 + max(pool) / (count(h.doc_id) + 1)) AS idf FROM f JOIN p USING (facet) LEFT JOIN h ON h.facet = f.facet AND h.term = f.term GROUP BY ALL), s AS (SELECT facet, sum(idf) AS total FROM i GROUP BY facet),
+r AS (SELECT i.facet, doc_id, floor(sum(idf) / max(total) * 10000 + 0.5) / 10000 AS share FROM i JOIN h ON h.facet = i.facet AND h.term = i.term JOIN s ON s.facet = i.facet GROUP BY ALL)"""
 
 
 def _facet_share(t) -> DataFrame:
-    facets = t("benchmark").select(F.col("item_id").alias("facet"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    words = t("documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    hits = words.join(F.broadcast(facets.select("term").distinct()), "term")
-    pool = t("documents").agg(F.count("*").cast("double").alias("pool"))
-    idf = facets.join(hits.groupBy("term").agg(F.count("*").alias("df")), "term", "left").crossJoin(F.broadcast(pool)).withColumn("idf", F.log(1 + F.col("pool") / (F.coalesce("df", F.lit(0)) + 1)))
-    idf = idf.withColumn("total", F.sum("idf").over(Window.partitionBy("facet"))).select("facet", "term", "idf", "total")
-    return hits.join(F.broadcast(idf), "term").groupBy("facet", "doc_id").agg(T.round_at(F.sum("idf") / F.max("total"), 4).alias("share"))
+    found = search.bm25(t("documents"), _items(t), 20).select(F.col("query_id").alias("facet"), "doc_id")
+    return search.idf_share(found.join(t("documents").select("doc_id", "text"), "doc_id"), _items(t).withColumnRenamed("query_id", "facet"))
 
 
 @query(f"WITH {_FACET} SELECT facet, doc_id, share FROM r")
@@ -352,19 +327,9 @@ def session_cost(t) -> DataFrame:
     return evaluate.session_cost(t("conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), T.token_estimate(F.col("text")).alias("result_tokens")))
 
 
-@query("""SELECT user_id % 10 AS repo, count(*) FILTER (event_type = 'click') AS retrievals, count(*) FILTER (event_type = 'error') AS denied, CAST(sum(CASE WHEN event_type = 'click' THEN greatest(0, 1000 - floor(value)) ELSE 0 END) AS BIGINT) AS saved,
-CAST(sum(CASE WHEN event_type = 'click' THEN greatest(0, 1000 - floor(value)) ELSE 0 END) * 15 AS BIGINT) AS saved_over_turns FROM events GROUP BY 1""")
-def usage_report(t) -> DataFrame:
-    saved = F.sum(F.when(F.col("event_type") == "click", F.greatest(F.lit(0), 1000 - F.floor("value"))).otherwise(0)).cast("long")
-    kind = lambda k: F.count(F.when(F.col("event_type") == k, 1))
-    return t("events").groupBy(F.expr("user_id % 10").alias("repo")).agg(kind("click").alias("retrievals"), kind("error").alias("denied"), saved.alias("saved"), (saved * 15).alias("saved_over_turns"))
-
-
 @query("SELECT source AS repo, count(*) AS files, least(15000, 400 + 12 * count(*)) + least(70000, 2000 + 80 * count(*)) + least(8000, 200 + 8 * count(*)) AS baseline FROM documents GROUP BY source")
 def baseline_heuristic(t) -> DataFrame:
-    n = F.col("files")
-    cost = F.least(F.lit(15000), 400 + 12 * n) + F.least(F.lit(70000), 2000 + 80 * n) + F.least(F.lit(8000), 200 + 8 * n)
-    return t("documents").groupBy(F.col("source").alias("repo")).agg(F.count("*").alias("files")).withColumn("baseline", cost.cast("long"))
+    return t("documents").groupBy(F.col("source").alias("repo")).agg(F.count("*").alias("files")).withColumn("baseline", usage.heuristic(F.col("files")))
 
 
 @query("""WITH r AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), s AS (SELECT * FROM r WHERE i IN (SELECT (k * n) // 32 FROM range(32) t(k)))
@@ -395,35 +360,10 @@ def seen_runs(t) -> DataFrame:
     return evaluate.runs_of(t("conversations").withColumn("seen", F.length("text") % 3 == 0), "conv_id", "turn", "seen", 2)
 
 
-_PATHS = ["src/a.test.ts", "pkg/x_test.go", "tests/unit/a.ts", "src/tests/b.py", "package.json", "vite.config.ts", ".eslintrc", ".babelrc.json", "README", "docs/a.md", "src/LICENSE.txt", "lib/main.rs", "x/test/run.js", "a/Dockerfile", "b.KTS", "c/d.yml", "e/noext", "f/.env.local", "g/id_rsa", "k.zsh"]
-_VALUES = "(VALUES " + ", ".join(f"('{p}')" for p in _PATHS) + ") v(path)"
-
-
-def _paths(t) -> DataFrame:
-    return t("region").limit(1).select(F.explode(F.array(*[F.lit(p) for p in _PATHS])).alias("path"))
-
-
-@query(f"""SELECT path, regexp_matches(lower(path), '\\.test\\.|\\.spec\\.|_test\\.|/__tests__/|/tests/|/test/[^/]*$') AS is_test,
-list_contains({P.CONFIG_NAMES!r}, lower(regexp_extract(path, '[^/]*$'))) OR regexp_matches(lower(regexp_extract(path, '[^/]*$')), '\\.config\\.(ts|js|mjs)$|^\\..*rc(\\.json)?$') AS is_config,
-regexp_matches(lower(regexp_extract(path, '[^/]*$')), '\\.(md|mdc|mdx|markdown|rst|adoc|txt)$|^(readme|changelog|contributing|license|notice|authors)(\\..*)?$') AS is_doc,
-regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{P.SECRET_NAME}') AS is_secret FROM {_VALUES}""")
-def path_classes(t) -> DataFrame:
-    p = F.col("path")
-    return _paths(t).select("path", P.is_test(p).alias("is_test"), P.is_config(p).alias("is_config"), P.is_doc(p).alias("is_doc"), P.is_secret(p).alias("is_secret"))
-
-
-@query(f"""WITH m AS (SELECT * FROM (VALUES {", ".join(f"('{e}', '{n}')" for n, es in P.LANGUAGES.items() for e in es.split())}) v(ext, lang)) SELECT path, coalesce(lang, 'text') AS language FROM {_VALUES} LEFT JOIN m ON ext = lower(regexp_extract(path, '[^/]+\\.([^./]+)$', 1))""")
-def language_detect(t) -> DataFrame:
-    return _paths(t).select("path", P.language(F.col("path")).alias("language"))
-
-
 @query(f"""WITH w AS (SELECT doc_id, unnest({_TOK}) AS w FROM documents), v AS (SELECT DISTINCT w FROM w), h AS (SELECT w, list_reduce(list_prepend(2166136261::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(w, '')]), lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT) AS h FROM v),
-b AS (SELECT doc_id, CAST(h % 384 AS INTEGER) AS bucket, CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END AS sign FROM w JOIN h USING (w)) SELECT doc_id, bucket, CAST(sum(sign) AS BIGINT) AS weight FROM b WHERE doc_id % 10 = 3 GROUP BY ALL""")
+b AS (SELECT doc_id, CAST(h % 384 AS INTEGER) AS bucket, CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END AS sign FROM w JOIN h USING (w)) SELECT doc_id, bucket, CAST(sum(sign) AS BIGINT) AS weight FROM b GROUP BY ALL""")
 def hash_features(t) -> DataFrame:
-    words = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    hashed = words.select("w").distinct().withColumn("h", T.fnv1a(F.col("w")))
-    sign = F.when(F.col("h") >= 2147483648, -1).otherwise(1)
-    return words.join(hashed, "w").groupBy("doc_id", (F.col("h") % 384).cast("int").alias("bucket")).agg(F.sum(F.col("n") * sign).alias("weight"))
+    return embed.feature_counts(t("documents"), "doc_id")
 
 
 @query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS lines FROM documents WHERE len(string_split(text, chr(10))) >= 2")
@@ -448,23 +388,20 @@ def identifier_extract(t) -> DataFrame:
 
 @query("SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60)) WHERE length(b.text) >= 30")
 def contamination(t) -> DataFrame:
-    """Texts that quote an item's first 60 characters: sought by the needle's longest word, then confirmed."""
+    """Texts that quote an item's first 60 characters."""
     needles = t("benchmark").where(F.length("text") >= 30).select("item_id", F.substring("text", 1, 60).alias("needle"))
-    inner = F.slice(F.split("needle", " "), 2, 1000)
-    inner = F.when(F.size(inner) > 1, F.slice(inner, 1, F.size(inner) - 1)).otherwise(F.array().cast("array<string>"))
-    needles = needles.withColumn("anchor", F.element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 1))
-    words = t("documents").select("doc_id", "text", F.array_distinct(F.split("text", " ")).alias("w")).select("doc_id", "text", F.explode("w").alias("anchor"))
-    small = needles.count() <= search.BROADCAST_ROWS
-    return words.join(F.broadcast(needles) if small else needles, "anchor").where(F.col("text").contains(F.col("needle"))).select("doc_id", "item_id").distinct()
+    return lookup.containing(t("documents"), needles, "doc_id", "text").join(needles, "needle").select("doc_id", "item_id").distinct()
 
 
 def queries() -> dict:
-    from . import rows_only
+    from . import lookups, reports, rows_only  # noqa: F401 - they add to Q and SQL
 
     return {**Q, **rows_only.queries()}
 
 
 def oracle_sql() -> dict:
+    from . import lookups, reports  # noqa: F401
+
     return dict(SQL)
 
 

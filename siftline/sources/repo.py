@@ -17,7 +17,7 @@ IGNORED = (
 ).split()
 SECRET = re.compile(r"(\.env(\..*)?|.*\.(pem|key|p12|pfx|keystore|jks)|(credentials|secrets)\..*|id_(rsa|dsa|ecdsa|ed25519))", re.I)
 #: Ours: texts that look as if they held a secret.
-SECRET_TEXT = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|(?i:api[_-]?key|secret|token|password)\s*[=:]\s*[\"'][^\"'\s]{16,}[\"']")
+SECRET_TEXT = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\bAKIA[0-9A-Z]{16}\b|(?i:api[_-]?key|secret|token|password)\s*[=:]\s*[\"'][^\"']{8,}")
 MAX_BYTES, SNIFF = 2 << 20, 8000
 
 
@@ -50,25 +50,41 @@ class Ignore:
         return False
 
 
-def discover(root: str, extra: tuple[str, ...] = (), under: str = "") -> Iterator[str]:
-    """Relative paths of the files to index: no links, nothing ignored or secret, no nested repositories."""
-    rules = [*IGNORED]
+def rules(root: str, extra: tuple[str, ...] = ()) -> Ignore:
+    """What is fixed, what the root's .gitignore says, and what else was given."""
+    own = [*IGNORED]
     if os.path.isfile(os.path.join(root, ".gitignore")):
         with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as file:
-            rules += file.read().splitlines()
-    ignore = Ignore([*rules, *extra])
+            own += file.read().splitlines()
+    return Ignore([*own, *extra])
+
+
+def admits(root: str, path: str, extra: tuple[str, ...] = (), sensitive: bool = False) -> bool:
+    """Whether a relative path is one that discovery would give, as far as its name tells."""
+    return not rules(root, extra).hides(path) and (sensitive or not SECRET.fullmatch(path.rsplit("/", 1)[-1]))
+
+
+def _entries(root: str, folder: str, ignore: Ignore) -> Iterator[tuple[str, os.DirEntry]]:
+    """(relative path, entry) of what a folder shows: no links, nothing ignored; a folder that cannot be read shows nothing."""
+    try:
+        entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+    except OSError:
+        return
+    for e in entries:
+        path = f"{folder}/{e.name}" if folder else e.name
+        if not e.is_symlink() and not ignore.hides(path, e.is_dir()):
+            yield path, e
+
+
+def discover(root: str, extra: tuple[str, ...] = (), under: str = "", deep: bool = True) -> Iterator[str]:
+    """Relative paths of the files to index: no links, nothing ignored or secret, no nested repositories; of the folder itself
+    alone unless deep."""
+    ignore = rules(root, extra)
 
     def walk(folder: str) -> Iterator[str]:
-        try:
-            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in entries:
-            path = f"{folder}/{e.name}" if folder else e.name
-            if e.is_symlink() or ignore.hides(path, e.is_dir()):
-                continue
+        for path, e in _entries(root, folder, ignore):
             if e.is_dir():
-                if not os.path.exists(os.path.join(root, path, ".git")):
+                if deep and not os.path.exists(os.path.join(root, path, ".git")):
                     yield from walk(path)
             elif not SECRET.fullmatch(e.name):
                 yield path
@@ -76,6 +92,12 @@ def discover(root: str, extra: tuple[str, ...] = (), under: str = "") -> Iterato
     yield from walk(under)
 
 
+def folders(root: str, extra: tuple[str, ...] = ()) -> list[str]:
+    """The folders right below the root that discovery goes into."""
+    ignore = rules(root, extra)
+    return [path for path, e in _entries(root, "", ignore) if e.is_dir() and not os.path.exists(os.path.join(root, path, ".git"))]
+
+
 def admitted(data: bytes) -> str | None:
     """Why a file's content is not indexed; None where it is."""
     if len(data) > MAX_BYTES:
@@ -85,21 +107,22 @@ def admitted(data: bytes) -> str | None:
     return "secret" if SECRET_TEXT.search(data.decode("utf-8", "replace")) else None
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+class _Tree(InputPartition):
+    def __init__(self, folder: str, deep: bool):
+        self.folder, self.deep = folder, deep
 
 
 class _Reader(DataSourceReader):
+    """The driver lists the root alone; every folder below it is walked and read by a task of its own."""
+
     def __init__(self, options: dict):
-        self.root, self.per = options["path"], int(options.get("filesPerPartition", "256"))
+        self.root, self.extra = options["path"], tuple(p for p in options.get("ignore", "").split(",") if p)
 
     def partitions(self) -> list[InputPartition]:
-        paths = list(discover(self.root))
-        return [_Files(paths[i : i + self.per]) for i in range(0, len(paths), self.per)] or [_Files([])]
+        return [_Tree("", False), *(_Tree(f, True) for f in folders(self.root, self.extra))]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        for path in partition.paths:
+    def read(self, partition: _Tree) -> Iterator[tuple]:
+        for path in discover(self.root, self.extra, partition.folder, partition.deep):
             try:
                 with open(os.path.join(self.root, path), "rb") as file:
                     data = file.read(MAX_BYTES + 1)

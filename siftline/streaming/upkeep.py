@@ -58,7 +58,7 @@ def attempt(state: Upkeep, index: Callable[[tuple, bool], None], now: int) -> Up
     return state.succeeded()
 
 
-def applied(stream: DataFrame, checkpoint: str, index: Callable[[DataFrame, bool], None], root_rules: str = ".gitignore"):
+def applied(stream: DataFrame, checkpoint: str, index: Callable[[DataFrame, bool], None]):
     """Start a query over change events that indexes every micro-batch, with pauses and retries as Upkeep has them. A batch
     that fails LONGEST times over fails the query, whose checkpoint then repeats it."""
     from .watch import compact, plan

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from siftline.functions import paths as P
 from siftline.functions import text as T
 from siftline.operators import chunks, embed, evaluate, intent, search, select, store, structure
-from siftline.plans import catalogue
+from siftline.plans import catalogue, lookups
 from siftline.sources import repo, snapshots
 from siftline.streaming import ledger, watch
 
@@ -218,13 +218,13 @@ def test_symbol_lookup_matches_brute_force(spark):
     rows = [(i, "".join(rng.choice(("ab", "c", "red ", "part ")) for _ in range(rng.randrange(8)))) for i in range(120)] + [(500, "x"), (501, "yz"), (502, None)]
     names = [x for _, x in rows if x is not None]
     want = set()
-    for name in {*names, *(x[:-1] for x in names)}:
+    for name in {*names, *(x[:-1] for x in names), *(x[1:4] for x in names)}:
         hits = sorted(i for i, x in rows if x == name)
         exact = bool(hits)
         hits = hits or sorted(i for i, x in rows if x is not None and name in x)
         want |= {(name, i, exact) for i in hits[:20]}
     parts = spark.createDataFrame(rows, "p_partkey long, p_name string")
-    assert {tuple(r) for r in catalogue.symbol_lookup(lambda name: parts).collect()} == want
+    assert {tuple(r) for r in lookups.symbol_lookup(lambda name: parts).collect()} == want
 
 
 def test_admission_keeps_texts_up_to_two_mebibytes(spark):
