@@ -190,7 +190,7 @@ def structural(symbol, parent) -> Column:
 def recency(indexed_at, now) -> Column:
     """1 for what was indexed now, falling to 0 within a week; 0 for no or no valid time."""
     age = F.unix_micros(now) - F.unix_micros(F.try_to_timestamp(indexed_at))
-    return F.coalesce(clamp01(1 - F.greatest(F.lit(0), age) / (7 * 86_400_000_000.0)), F.lit(0.0))
+    return F.when(age.isNull(), 0.0).otherwise(clamp01(1 - F.greatest(F.lit(0), age) / (7 * 86_400_000_000.0)))
 
 
 def scored(rows: DataFrame, now=None) -> DataFrame:

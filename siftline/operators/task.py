@@ -70,7 +70,7 @@ def task_context(chunks: DataFrame, queries: DataFrame, provider=None, aliases:
     parts = plan.select("query_id", "facet_id", F.concat_ws("\x01", "query_id", "facet_id").alias("key"), "embed_text")
     found = hybrid.channels(docs.select("doc_id", "text"), parts.select(F.col("key").alias("query_id"), F.col("embed_text").alias("text")), FACET_HITS, provider)
     own = staged(found.withColumn("signal", F.greatest("semantic", "keyword")).groupBy(F.col("query_id").alias("key"), "id").agg(F.max("signal").alias("signal"), F.max("semantic").alias("semantic"), F.max("keyword").alias("keyword")).join(parts.select("key", "query_id", "facet_id"), "key"), "parts")
-    ranks = own.select("query_id", "facet_id", "id", (F.row_number().over(Window.partitionBy("query_id", "facet_id").orderBy(F.desc("signal"), "id")) - 1).alias("rank"))
+    ranks = own.where("signal > 0").select("query_id", "facet_id", "id", (F.row_number().over(Window.partitionBy("query_id", "facet_id").orderBy(F.desc("signal"), "id")) - 1).alias("rank"))
     whole = staged(hybrid.channels(docs.select("doc_id", "text"), queries, WHOLE_HITS, provider).select("query_id", "id", "semantic", "keyword"), "whole")
     null = lambda t: F.lit(None).cast(t)
     pool = whole.unionByName(own.select("query_id", "id", "semantic", "keyword")).withColumns({"path_hint": null("double"), "exact_identifier": F.lit(False), "dependency": F.lit(0.0), "reference": F.lit(0.0), "expansion": F.lit(False)})
