@@ -116,7 +116,8 @@ class Automaton:
         self.byte_ids = byte_of
 
     def best(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For byte strings of one length (n, length): token ids, tokens per string, and the scores of the best paths."""
+        """For byte strings of one length (n, length): token ids, tokens per string, and the scores of the best paths. Of equal
+        paths to a place the one with the longer last piece is kept."""
         n, length = rows.shape
         total = np.full((length + 1, n), -np.inf)
         total[0] = 0
