@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from siftline.llm import annforest, decontaminate, kernels, langid, licenses, linededup, masked_lm, neardup, pieces, suffixdedup, toxicity
+from siftline.llm import annforest, common, decontaminate, kernels, langid, licenses, linededup, masked_lm, neardup, pieces, suffixdedup, toxicity
 
 DOC = "doc_id long, text string, text_hash string, words string, k int, n_lines int"
 EXTRA = ("extra", "extra", 7, 9)
@@ -106,7 +108,7 @@ def test_contamination_matches_brute_force(spark, odd, monkeypatch):
     for most in (50_000, 7):
         monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
         got = sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate.contamination(frame(spark, rows), bench).collect())
-        assert got == sorted({(str(a), b, c, ",".join(d)) for a, b, c, d in contaminated(rows, items)})
+        assert got == sorted((str(a), b, c, ",".join(d)) for a, b, c, d in contaminated(rows, items))  # repeated rows as often
     left = {r.doc_id for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()}
     assert left == {a for a, _, c, _ in contaminated(rows, items) if not c}
     spans = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, [(1, "a one, b"), (2, "c")]), bench, mode="span").collect()}
@@ -174,6 +176,25 @@ def test_line_dedup_empty(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_odd_rows_and_clashing_columns(spark):
+    run = "one\ntwo\nthree"
+    rows = [(None, f"x\n{run}"), (1, f"{run}\ny"), (2, f"{run}\ny"), (2, f"{run}\ny"), (2, "other text"), (3, None), (4, ""), (5, " \n\n"), (6, "\n".join(f"line {i}" for i in range(30_000)))]
+    names = ["gone", "hash", "c0", "gone_id", "n_lines", "n_removed_lines", "lines", "w", "mark"]
+    docs = spark.createDataFrame([(i, t, *[j] * len(names)) for j, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = linededup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", *[n for n in names if not n.startswith("n_")], "n_lines", "n_removed_lines"]
+    got = {r.gone: (r.doc_id, r.text, r.n_lines, r.n_removed_lines) for r in out.collect()}
+    assert got == {0: (None, rows[0][1], 4, 0), 1: (1, "y", 4, 3), 2: (2, "", 4, 4), 3: (2, "", 4, 4), 4: (2, "other text", 1, 0), 5: (3, None, 0, 0), 6: (4, "", 1, 0), 7: (5, " \n\n", 3, 0), 8: (6, rows[8][1], 30_000, 0)}
+
+
+def test_join_counted_splits_frequent_keys(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else f"k{i % 40}", i) for i in range(600)], "key string, i int")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").cache()
+    for parts in (1, 3, 1000):
+        got = common.join_counted(rows, counted, "key", "n", parts)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(counted, "key").collect()))
+
+
 def test_forest_recall_and_exact_ties(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
@@ -193,6 +214,47 @@ def test_forest_recall_and_exact_ties(spark):
     assert annforest.neighbours(df.limit(0)).count() == 0
 
 
+def brute_neighbours(rows, every, k):
+    kept = {(i, tuple(v)) for i, v in rows if i is not None and v and any(v)}
+    out = []
+    for q in sorted({i for i, _ in kept if i % every == 0}):
+        near = {}
+        for i, v in kept:
+            for j, w in kept:
+                if j == q and i != q:
+                    far = float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum()))
+                    near[i] = min(near.get(i, far), far)
+        out += [(q, r, i, s) for r, (s, i) in enumerate(sorted((s, i) for i, s in near.items())[:k], 1)]
+    return out
+
+
+def test_forest_repeated_ids_ties_and_clashing_columns(spark):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(4)) for _ in range(3)]) for i in range(-50, 50)] + [(5, [1.0, 2.0, 3.0])] * 12 + [(0, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.0]), (100, [3.0, 3.0, 3.0]), (100, [0.0, 1.0, 0.0]), (7, [9.0, 9.0, 9.0]), (None, [1.0, 1.0, 1.0])]
+    rows += [(8, [1.0, 2.0, 3.0 + n / 1000]) for n in range(40)]  # many vectors of one id around a query
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id long, embedding array<float>, shard int, score int, query_id int")
+    rows = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+    for forest in (annforest.Forest(), annforest.Forest(shard=20, block=1), annforest.Forest(bits=8, trees=3, seek=10**6)):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in annforest.neighbours(df, every=50, k=10, forest=forest).collect())
+        want = brute_neighbours(rows, 50, 10)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_forest_recall_over_many_shards(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x)) * 50), "embedding": flat})).repartition(8)
+    got = annforest.neighbours(df, every=25_000, k=10).toPandas()
+    y, hits = x.astype(float), 0
+    for q, own in got.groupby("query_id"):
+        far = ((y - y[q // 50]) ** 2).sum(axis=1)
+        far[q // 50] = np.inf
+        hits += len(set(np.argsort(far, kind="stable")[:10] * 50) & set(own.vec_id))
+    assert got.query_id.nunique() == 100 and hits / 1000 >= 0.9
+
+
 def test_language_profiles(spark):
     rng = random.Random(1)
     make = lambda s: " ".join("".join(rng.choice(s) for _ in range(3)) for _ in range(40))
@@ -206,8 +268,62 @@ def test_language_profiles(spark):
     assert all(r.lang_pred == "aa" for r in got if r.doc_id == 203)
     assert np.mean([sorted(r.lang_pred for r in got if r.doc_id == i) == ["aa", "bb"] for i in range(40)]) > 0.9
     assert langid.predict(docs, langid.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
-    text = "Ab " * 300_000
-    assert len(langid.text_grams(text)) > 0
+
+
+def brute_grams(text):
+    out, word = {}, [0]
+    for c in text:
+        x = ord(unicodedata.normalize("NFC", c.lower())[0]) if c.isalpha() else 0
+        if x or word[-1]:
+            word.append(x)
+    word += [0] * (word[-1] > 0)
+    for g in zip(word, word[1:], word[2:], strict=False):
+        out[g] = out.get(g, 0) + 1
+    return out
+
+
+def test_language_grams_of_whole_texts(monkeypatch):
+    texts = ["", " ", "a", "Ab, cd!", "été 中文字 Ёлка ΩΜ", "  x  yz  ", "a1b22c", "Ab " * 50, "\0é\0"]
+    for size in (1 << 19, 1, 2, 3, 7):
+        monkeypatch.setattr(langid, "CHARS", size)
+        for t in texts:
+            g, n = langid.gram_counts(t)
+            got = {(int(x >> np.uint64(42)), int(x >> np.uint64(21)) & 0x1FFFFF, int(x) & 0x1FFFFF): int(k) for x, k in zip(g, n, strict=True)}
+            assert got == brute_grams(t)
+    assert len({langid.letter_vector(ord(c)).tobytes() for c in "abcéßñжщλω中文字かなहिעב"}) == len("abcéßñжщλω中文字かなहिעב")
+
+
+def test_language_scores_match_plain_hypervectors(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 100)
+    monkeypatch.setattr(langid, "BLOCK", 7)
+    rows = [(1, "the thing there", "en"), (2, "les eaux là", "fr"), (3, "это там и тут", "ru"), (4, "the other thing", "en"), (None, "les autres", None), (5, "x" * 30, None), (5, "x" * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit("clash"))
+
+    def vector(text):
+        total = np.zeros(langid.WIDTH)
+        for g, n in brute_grams(text).items():
+            a, b, c = (langid.letter_vector(x).astype(float) for x in g)
+            total += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return total, sum(brute_grams(text).values())
+
+    bundles = {}
+    for _, text, lang in rows:
+        if lang:
+            v, n = vector(text)
+            a, b = bundles.get(lang, (0, 0))
+            bundles[lang] = (a + v, b + n)
+    names = sorted(bundles)
+    prototypes = np.array([bundles[x][0] / bundles[x][1] for x in names])
+    prototypes -= prototypes.mean(axis=0)
+    want = []
+    for i, text, _ in rows:
+        v, _ = vector(text)
+        cos = prototypes @ v / np.linalg.norm(v) / np.linalg.norm(prototypes, axis=1)
+        want.append((i, names[int(cos.argmax())], round((1 + cos.max()) / 2, 5)))
+    got = [(r.doc_id, r.lang_pred, round(r.score, 5)) for r in langid.predict(docs, langid.learn(docs)).collect()]
+    key = lambda x: (x[0] is None, x)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert langid.predict(docs.limit(0), langid.learn(docs)).collect() == []
 
 
 def brute_removal(rows, length):
@@ -233,6 +349,7 @@ def brute_removal(rows, length):
 def test_suffix_dedup_matches_brute_force(spark, monkeypatch, split, run):
     monkeypatch.setattr(suffixdedup, "SPLIT", split)
     monkeypatch.setattr(suffixdedup, "RUN", run)
+    monkeypatch.setattr(suffixdedup, "BLOCK", run)
     rng = random.Random(5)
     shared = [prose(rng, 30) for _ in range(3)] + ["é" * 40, "a" * 200, "x" * 49, "y" * 50]
     rows = [(i, prose(rng, rng.randrange(30)) + rng.choice(shared)[rng.randrange(20) :] + prose(rng, rng.randrange(20))) for i in range(40)]
@@ -261,7 +378,7 @@ def test_windows_in_blocks_equal_those_of_the_whole(monkeypatch):
         return {i: (int(p), int(h)) for a, b, p, h in zip(*(x.tolist() for x in found), strict=True) for i in range(a, b)}
 
     whole = flat(suffixdedup._all_windows(raw, at, 50))
-    monkeypatch.setattr(suffixdedup, "RUN", 333)
+    monkeypatch.setattr(suffixdedup, "BLOCK", 333)
     assert flat(suffixdedup._all_windows(raw, at, 50)) == whole
     assert sorted(whole) == [i for a, b in zip(at, at[1:], strict=False) for i in range(a, b - 49)]
 
@@ -292,7 +409,7 @@ def test_toxicity_features_are_chosen_over_all_rows(spark, monkeypatch):
     docs, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
     chosen, telling = [], toxicity.telling
     monkeypatch.setattr(toxicity, "telling", lambda p, u, n_p, n_u: chosen.append((p.max(), u.max(), n_p, n_u)) or telling(p, u, n_p, n_u))
-    toxicity.learn(docs, labels, toxicity.Sample(positives=10, unlabelled=40))
+    toxicity.learn(docs, labels)
     assert chosen == [(80, 400, 80, 400)]
 
 
@@ -389,30 +506,68 @@ def test_masked_lm_classes_grow_with_the_vocabulary(spark):
 
 
 def test_masked_lm_trains_on_every_token(spark):
-    learned = masked_lm.learn(frame(spark, [(1, " ".join(f"w{i}" for i in range(40)))]))
-    bias = learned.params[-learned.shape.classes :]
+    learned = masked_lm.learn(frame(spark, [(1, " ".join(f"w{i}" for i in range(40)))]), masked_lm.Shape(fan=64))
+    bias = masked_lm.views(learned.params, learned.shape)[4][0]
     assert (bias[:40] > 0).all() and (bias[40:] < 0).all()
 
 
+def plain_log_probability(p, s, context, target):
+    """Of one token, by the full softmax over all slots."""
+    sides, head, bias, place, place_bias = (x.astype(np.float64) for x in masked_lm.views(p, s))
+    hidden = np.tanh(sum(sides[k][c] for k, c in enumerate(context)))
+    group = np.exp(hidden @ head + bias)
+    within = np.exp(np.einsum("w,gwf->gf", hidden, place) + place_bias)
+    whole = (group / group.sum())[:, None] * within / within.sum(axis=1, keepdims=True)
+    assert whole.sum() == pytest.approx(1)
+    return np.log(whole.reshape(-1)[target])
+
+
 def test_masked_lm_gradient():
-    s = masked_lm.Shape(words=3, buckets=2, width=4)
+    s = masked_lm.Shape(words=5, buckets=2, fan=3, width=4)
     rng = np.random.default_rng(0)
-    context, target = rng.integers(0, s.classes, (4, 6)), rng.integers(0, s.classes - 1, 6)
+    context, target = rng.integers(0, s.classes, (4, 9)), rng.integers(0, s.slots, 9)
+    p = masked_lm.start(s).astype(np.float64) + rng.normal(0, 0.3, s.size)
 
     def loss(p):
-        _, z, norm = masked_lm._forward(p, s, context)
-        return float(-(z[np.arange(6), target] - norm[:, 0]).mean())
-
-    p = masked_lm._start(s).astype(np.float64)
-    q, sums = p.copy(), np.zeros(s.size)
-    before = loss(p)
-    masked_lm.train_batch(q, sums, s, context, target)
-    grad = np.sqrt(sums)
-    for i in rng.integers(0, s.size, 20):
+        return float(-np.mean([plain_log_probability(p, s, context[:, i], target[i]) for i in range(9)]))
+
+    assert -masked_lm.log_probabilities(p, s, context, target).mean() == pytest.approx(loss(p))
+    grad = masked_lm.gradient(p, s, context, target)
+    for i in rng.integers(0, s.size, 60):
         e = np.zeros(s.size)
         e[i] = 1e-5
-        assert abs((loss(p + e) - loss(p - e)) / 2e-5) == pytest.approx(grad[i], abs=1e-6)
-    assert loss(q) != before
+        assert (loss(p + e) - loss(p - e)) / 2e-5 == pytest.approx(grad[i], abs=1e-7)
+
+
+def test_masked_lm_matches_plain_sums_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "TOKENS", 7)
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(1, 60), 30)) for i in range(120)] + [(500, None), (501, ""), (None, "w1x w2x"), (7, "w1x w2x"), (7, "w1x w2x"), (600, prose(rng, 5000, 40))]
+    shape = masked_lm.Shape(words=20, buckets=3, fan=6, width=5, batch=64, least=8)
+    docs = frame(spark, rows).withColumn("n", F.lit(1)).withColumn("row", F.lit(2)).withColumn("word", F.lit(3)).withColumn("score", F.lit(4))
+    learned = masked_lm.learn(docs.repartition(1), shape)
+    again = masked_lm.learn(docs.repartition(8), shape)
+    assert (learned.params == again.params).all() and np.abs(learned.params - masked_lm.start(shape)).max() > 0.01
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.log_likelihood, 3)) for r in masked_lm.score(docs, learned).collect())
+    assert got == sorted((str(r.doc_id), r.n_tokens, round(r.log_likelihood, 3)) for r in masked_lm.score(docs.repartition(8), again).collect())
+    counts = {}
+    for _, t in rows:
+        for w in (t or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    words = sorted(counts)
+    hashes = dict(zip(words, kernels.word_hashes(*kernels.buffers(pa.array(words)))[0], strict=True))
+    slot = {w: int(masked_lm.slots_of(np.array([hashes[w]], np.uint64), learned)[0]) for w in words}
+    want = []
+    for i, t in rows:
+        own, total = [slot[w] for w in (t or "").split()], 0.0
+        for j, w in enumerate((t or "").split()):
+            context = [own[j + d] if 0 <= j + d < len(own) else shape.slots for d in shape.sides]
+            total += plain_log_probability(learned.params, shape, context, own[j])
+            if own[j] >= shape.words:
+                total += np.log(counts[w] / (1 + sum(n for v, n in counts.items() if slot[v] == own[j])))
+        want.append((str(i), len(own), total))
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=0.02, rel=1e-4)
 
 
 def test_word_hashes_follow_bytes(monkeypatch):
