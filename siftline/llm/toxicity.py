@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import _LOWER, buffers, pieces, powers, runs, mix
+from .common import cleaned, dropped, staged
+from .kernels import _LOWER, buffers, mix, pieces, powers, runs
 
 BITS = 18
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes
@@ -17,12 +18,10 @@ _BREAK = np.ones(256, bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 
 
-@dataclass(frozen=True)
-class Sample:
-    """Bounds of what is fitted on: rows are taken in the order of a hash of their id."""
-
-    positives: int = 4096
-    unlabelled: int = 12288
+#: Bits of the filter that spares most texts the join with the confirmed examples; 8 bytes go out for 64 of them.
+FILTER = 1 << 23
+#: Texts whose features a task holds while the model is fitted.
+ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -74,107 +73,141 @@ def text_features(raw: np.ndarray, offsets: np.ndarray):
             yield found, np.ones(len(found), np.float32)
 
 
-def _raw_scores(model: Model, ids: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    sums = np.concatenate(([0.0], np.cumsum(model.weights[ids].astype(np.float64) * values)))
-    return sums[at[1:]] - sums[at[:-1]] + model.bias
-
-
 def telling(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, least: int = 3, lift: float = 2.0) -> np.ndarray:
     """Which features are worth weights: in at least `least` of n_p positives, and `lift` times as often as elsewhere."""
     return (p >= least) & (p * n_u >= lift * (u + 1) * n_p)
 
 
-def fit(positive: list, unlabelled: list, prior: float, rounds: int = 30, rate: float = 0.05, decay: float = 3e-4, seed: int = 5) -> Model:
-    """Adam on prior * R_p+ + max(0, R_u- - prior * R_p-) with the logistic loss over the presence of features;
-    where the corrected negative part falls below zero its gradient is followed the other way, as the non-negative
-    estimator asks. Each entry is (ids, values). Without either kind of example every score is near 0."""
-    if not positive or not unlabelled:
-        return Model(np.zeros(1 << BITS, np.float32), -8.0)
-    prior = min(max(prior, 1e-4), 0.5)
-    rng = np.random.default_rng(seed)
-    w, bias, m, v = np.zeros(1 << BITS), np.log(prior / (1 - prior)), np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    steps, t = max(1, min(20, len(unlabelled) // 128)), 0
-
-    def gather(rows):
-        at = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows])))
-        return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), at
-
-    for _ in range(rounds):
-        p_order, u_order = np.array_split(rng.permutation(len(positive)), steps), np.array_split(rng.permutation(len(unlabelled)), steps)
-        for p_rows, u_rows in zip(p_order, u_order, strict=True):
-            if not len(p_rows):
-                p_rows = rng.integers(0, len(positive), 1)
-            p, u = gather([positive[i] for i in p_rows]), gather([unlabelled[i] for i in u_rows])
-            zp, zu = (_raw_scores(Model(w, bias), *x) for x in (p, u))
-            sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            gp, gu = prior * (sp - 1) / len(zp), np.zeros_like(su)
-            if negative >= 0:
-                gp, gu = gp - prior * sp / len(zp), su / len(zu)
-            else:
-                gp, gu = prior * sp / len(zp), -su / len(zu)
-            g = np.zeros((1 << BITS) + 1)
-            for rows, slope in ((p, gp), (u, gu)):
-                g[:-1] += np.bincount(rows[0], np.repeat(slope, np.diff(rows[2])) * rows[1], 1 << BITS)
-                g[-1] += slope.sum()
-            g[:-1] += decay * w
-            t += 1
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w -= step[:-1]
-            bias -= step[-1]
-    return Model(w.astype(np.float32), float(bias))
-
-
-def _part(rows: DataFrame, bound: int) -> DataFrame:
-    """About `bound` rows at most, drawn by a hash of doc_id: all of a smaller table, the same ones on every run."""
-    share = min(1.0, bound / max(1, rows.count()))
-    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < round(share * (1 << 20)))
-
-
-def _counts(rows: DataFrame) -> np.ndarray:
-    """In how many of the rows each feature occurs; summed in the tasks, so the driver gets 2 ** BITS numbers at most."""
+def _sums(w: np.ndarray, bias: float, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0.0], np.cumsum(w[ids])))
+    return sums[at[1:]] - sums[at[:-1]] + bias
+
+
+def as_negative(w: np.ndarray, bias: float, ids: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Summed over texts (each `times` times), if they were negative: the slopes by feature, that of the bias, the
+    logistic loss and the number of texts."""
+    z = _sums(w, bias, ids, at)
+    slope = times / (1 + np.exp(-np.clip(z, -40, 40)))
+    return np.concatenate((np.bincount(ids, np.repeat(slope, np.diff(at)), len(w)), [slope.sum(), (times * np.logaddexp(0, z)).sum(), times.sum()]))
+
+
+def fit(risks, present: np.ndarray, n_p: int, prior: float, rounds: int = 48, rate: float = 0.25, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam on prior * R_p+ + max(0, R_u- - prior * R_p-) with the logistic loss over the presence of
+    features; where the corrected negative part falls below zero its gradient is followed the other way, as the
+    non-negative estimator asks. risks(w, bias) is as_negative() summed over all confirmed examples and over all
+    unlabelled texts; present says in how many of the n_p examples each feature occurs."""
+    prior, size = min(max(prior, 1e-4), 0.5), len(present)
+    w, m, v = np.concatenate((np.zeros(size), [np.log(prior / (1 - prior))])), np.zeros(size + 1), np.zeros(size + 1)
+    for t in range(1, rounds + 1):
+        p, u = (x / x[-1] for x in risks(w[:-1], w[-1]))
+        corrected = u[:-2] - prior * p[:-2]
+        as_positive = p[:-2] - np.append(present / n_p, 1.0)  # the slope of the loss of examples as what they are
+        g = prior * as_positive + corrected if u[-2] >= prior * p[-2] else -corrected
+        g[:-1] += decay * w[:-1]
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        w -= rate * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w[:-1], float(w[-1])
+
+
+def _counts(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of the rows each feature occurs, and how many there are; summed in the tasks, so the driver gets
+    2 ** BITS + 1 numbers at most."""
 
     def work(batches):
-        total = np.zeros(1 << BITS, np.int64)
+        total, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
+            n += len(batch)
             for ids, _ in text_features(*buffers(batch.column(0))):
                 total[ids] += 1
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], n))], ["id", "n"])
 
     got = rows.select("text").mapInArrow(work, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BITS, np.int64)
+    out = np.zeros((1 << BITS) + 1, np.int64)
     out[np.asarray(got["id"])] = np.asarray(got["n"])
-    return out
+    return out[:-1], int(out[-1])
 
 
-def _features(rows: DataFrame, keep: np.ndarray) -> list:
-    """(ids, ones) of every row, of the kept features alone."""
+def _features(rows: DataFrame, keep: np.ndarray, confirmed: bool) -> DataFrame:
+    """(confirmed, ids, times): the kept features of every row, numbered among themselves; rows of a batch with the same
+    ones are one row."""
+    number = np.full(1 << BITS, -1, np.int32)
+    number[keep] = np.arange(np.count_nonzero(keep))
 
     def work(batches):
         for batch in batches:
-            found = [ids[keep[ids]] for ids, _ in text_features(*buffers(batch.column(0)))]
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32)))], ["ids"])
-
-    got = rows.select("text").mapInArrow(work, "ids array<int>").toArrow()["ids"]
-    return [(ids, np.ones(len(ids), np.float32)) for ids in (np.asarray(x.values, np.int32) for x in got)]
+            found: dict[bytes, int] = {}
+            for ids, _ in text_features(*buffers(batch.column(0))):
+                own = number[ids]
+                own = own[own >= 0].tobytes()
+                found[own] = found.get(own, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([confirmed] * len(found)), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["confirmed", "ids", "times"])
+
+    return rows.select("text").mapInArrow(work, "confirmed boolean, ids binary, times long")
+
+
+def _risks(table: DataFrame, size: int):
+    """as_negative() of the confirmed and of the unlabelled rows of a table of _features(): one job a call, summed in the
+    tasks and then by place, so the driver gets 2 * (size + 3) numbers."""
+
+    def run(w: np.ndarray, bias: float) -> np.ndarray:
+        def work(batches):
+            total = np.zeros((2, size + 3))
+            for batch in batches:
+                raw, at = buffers(batch.column(1))
+                ids, at, times, confirmed = np.frombuffer(raw.tobytes(), np.int32), at // 4, np.asarray(batch.column(2)).astype(float), np.asarray(batch.column(0))
+                for k in (0, 1):
+                    own = times * (confirmed != k)
+                    if own.any():
+                        total[k] += as_negative(w, bias, ids, at, own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["at", "x"])
+
+        got = table.mapInArrow(work, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        out = np.zeros(2 * (size + 3))
+        out[np.asarray(got["at"])] = np.asarray(got["x"])
+        return out.reshape(2, -1)
+
+    return run
+
+
+def _with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among the ids. A filter of FILTER bits at most, one hash an id, is broadcast first, and what
+    it lets through is staged, so that hardly any other text is shuffled while there are far fewer ids than bits; with more
+    of them it lets more through."""
+    bit = f"pmod(xxhash64(doc_id), {FILTER}L)"
+    words = ids.select(F.expr(f"{bit} DIV 64").alias("_word"), F.expr(f"shiftleft(1L, CAST({bit} % 64 AS INT))").alias("bits")).groupBy("_word").agg(F.bit_or("bits").alias("_bits"))
+    met = rows.join(F.broadcast(words), F.expr(f"{bit} DIV 64") == F.col("_word")).where(F.expr(f"shiftrightunsigned(_bits, CAST({bit} % 64 AS INT)) & 1 = 1"))
+    near = staged(met.select(*rows.columns), "near")  # staged, or the planner would put the join below the filter
+    out = staged(near.join(ids, "doc_id", "left_semi"), "confirmed")
+    dropped(near)
+    return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:  # noqa: B008
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from labels(doc_id, toxic) of docs(doc_id, text): toxic = 1 rows are the confirmed examples, all docs
-    are unlabelled text, and the share of 1 among the labels is the class prior. Which features get weights is decided by
-    counts over all of these rows, their weights by the sample. Null labels, ids and texts are left out."""
+    are unlabelled text, and the share of 1 among the labels is the class prior. Null labels, ids and texts are left out.
+    Without either kind of example every score is near 0.
+
+    Counts over all rows choose the features. The risks and their gradients run over all confirmed examples and all
+    unlabelled texts in every step, by the few features that tell anything: nothing is sampled, and the model does not
+    depend on how the rows are dealt over tasks.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     prior = known.agg(F.avg(F.col("toxic").cast("double")).alias("prior")).first().prior or 0.0
-    toxic = known.where("toxic = 1")
-    every = rows.join(toxic, "doc_id", "left_semi")
-    keep = telling(_counts(every), _counts(rows), every.count(), rows.count())
-    positive, unlabelled = rows.join(_part(toxic, sample.positives), "doc_id", "left_semi"), _part(rows, sample.unlabelled)
-    return fit(_features(positive, keep), _features(unlabelled, keep), prior)
+    every = _with_ids(rows, known.where("toxic = 1").select("doc_id"))
+    (p, n_p), (u, n_u) = _counts(every), _counts(rows)
+    if not n_p or not n_u:
+        return Model(np.zeros(1 << BITS, np.float32), -8.0)
+    keep = telling(p, u, n_p, n_u)
+    table = staged(_features(every, keep, True).unionByName(_features(rows, keep, False)).repartition(1 + n_u // ROWS), "features")
+    with cleaned(docs.sparkSession):
+        w, bias = fit(_risks(table, int(np.count_nonzero(keep))), p[keep], n_p, prior)
+    dropped(every), dropped(table)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[keep] = w
+    return Model(weights, bias)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
