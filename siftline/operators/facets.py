@@ -177,7 +177,7 @@ def confidence(top_total, top_path, query, threshold: float = 0.15, stale=None)
 def follow_ups(candidates: DataFrame, selected: DataFrame, reported: DataFrame, found: DataFrame, per_facet: int = 2, most: int = 8) -> DataFrame:
     """(query_id, position, facet_id, label, id, file, start_line, end_line, tokens): the best chunks left out for every
     facet that is not covered, each used once and none that overlaps what was sent; a query's pool is bounded."""
-    kind = candidates.schema["query_id"].dataType.simpleString()
+    kind, id_kind = (candidates.schema[c].dataType.simpleString() for c in ("query_id", "id"))
     columns = ["query_id", "position", "facet_id", "label", "id", "file", "start_line", "end_line", "tokens"]
     sent = selected.groupBy("query_id").agg(F.collect_list(F.struct("id", "file", "start_line", "end_line")).alias("sent"))
     rows = candidates.select("query_id", "id", "file", "start_line", "end_line", "total", "tokens").join(found, ["query_id", "id"]).join(reported.where("status <> 'covered'").select("query_id", "facet_id", "label", "strength"), ["query_id", "facet_id"])
@@ -197,7 +197,7 @@ def follow_ups(candidates: DataFrame, selected: DataFrame, reported: DataFrame,
             out += fit
         return pd.DataFrame([(r.query_id, i + 1, r.facet_id, r.label, r.id, r.file, r.start_line, r.end_line, r.tokens) for i, r in enumerate(out[:most])], columns=columns)
 
-    return rows.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, position int, facet_id string, label string, id string, file string, start_line long, end_line long, tokens long")
+    return rows.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, position int, facet_id string, label string, id {id_kind}, file string, start_line long, end_line long, tokens long")
 
 
 def next_calls(reported: DataFrame, complete: DataFrame, reads: DataFrame, most: int = 3, ranges: int = 8) -> DataFrame:
