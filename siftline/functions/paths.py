@@ -22,6 +22,10 @@ CONFIG_NAMES = (
 SECRET_NAME = r"^(\.env(\..*)?|.*\.(pem|key|p12|pfx|keystore|jks)|(credentials|secrets)\..*|id_(rsa|dsa|ecdsa|ed25519))$"
 
 
+#: Words and endings of tasks about documentation.
+DOC_WORDS, DOC_ENDINGS = "docs?|documentation|readme|changelog|guide|tutorial|markdown|faq|wiki", "md|mdc|mdx|rst"
+
+
 def basename(path) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -50,7 +54,7 @@ def is_doc(path) -> Column:
 
 def is_doc_task(query) -> Column:
     """Whether a task is about documentation itself."""
-    return F.lower(query).rlike(r"\b(docs?|documentation|readme|changelog|guide|tutorial|markdown|faq|wiki)\b|\.(md|mdc|mdx|rst)\b")
+    return F.lower(query).rlike(rf"\b({DOC_WORDS})\b|\.({DOC_ENDINGS})\b")
 
 
 def is_code(path) -> Column:

@@ -23,6 +23,10 @@ COVERED, WEAK, WEAK_ALLOWED, ASIDE = 0.6, 0.35, 0.15, 0.55
 MODES = {"minimal": (5, 5000, 2, 1), "normal": (8, 8000, 2, 2), "deep": (24, 25000, 6, 4), "multi": (12, 8000, 2, 2), "broad": (16, 8000, 2, 2)}
 
 
+#: Words of tasks that change code.
+CHANGES = "add|fix|implement|update|refactor|change|bug|endpoint|api|function|class|test"
+
+
 def _kind(anchor: str, files: list[str]) -> str:
     if anchor.startswith("--"):
         return "flag"
@@ -169,7 +173,7 @@ def completeness(reported: DataFrame, stale: Column | None = None) -> DataFrame:
 def confidence(top_total, top_path, query, threshold: float = 0.15, stale=None) -> Column:
     """How sure a focused reply is: 0.2 from a stale index, 0 without a hit, just under the threshold where prose answers a
     change of code, else the best total."""
-    change = F.lower(query).rlike(r"\b(add|fix|implement|update|refactor|change|bug|endpoint|api|function|class|test)\b")
+    change = F.lower(query).rlike(rf"\b({CHANGES})\b")
     old = F.coalesce(stale, F.lit(False)) if stale is not None else F.lit(False)
     return F.when(old, 0.2).when(top_total.isNull(), 0.0).when(change & P.is_doc(top_path), F.least(top_total, F.lit(max(0.0, threshold - 0.01)))).otherwise(top_total)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REQUEST = "event string, tool string, subagent string, cwd string, roots array<string>, path string, directory string, pattern string, description string, prompt string, task string, task_subagent string"
+#: Phrases of a task that explores.
 EXPLORES = r"\b(explor(e|ing)|search the (code|repo|codebase)|find where|how does)\b"
 
 

@@ -24,6 +24,13 @@ DECLARATIONS = frozenset("function class method interface type enum namespace".s
 #: Floors of exact symbols, file names and files named by their words; the factor of tests nobody asked for.
 SYMBOL_FLOOR, FILE_FLOOR, WORDS_FLOOR, TEST_FACTOR = 0.95, 0.90, 0.80, 0.85
 
+#: What a query says before and after a word that it means as code, and beside one that it means as a command.
+BEFORE_CODE = "where is|where's|find|locate|definition of|implementation of|function|method|class|symbol"
+AFTER_CODE = "defined|implemented|declared|function|method|class"
+RUNNERS, COMMAND_NOUNS = "npm run|npx|yarn|pnpm", "command|subcommand|tool"
+#: Words of tasks that ask for tests, and of those that ask how something works.
+TEST_WORDS, EXPLAINING = "test|tests|spec|coverage", "how|why|explain|overview|architecture|design|concepts?|works?"
+
 _DATA = re.compile(r"\.(json|jsonc|ya?ml|toml|ini|xml|csv|lock|env)$")
 
 
@@ -50,7 +57,7 @@ class Asked:
         alone = (t.strip("./-") for t in re.split(r"[^a-z0-9_./-]+", self.low))
         self.alone = {_one(w) for t in alone if t and not re.search(r"[_./]", t) for w in t.split("-") if w}
         self.parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", text).lower()) if len(p) >= 3 and p not in PATH_STOP]
-        self.tests = bool(re.search(r"\b(test|tests|spec|coverage)\b", self.low, re.A))
+        self.tests = bool(re.search(rf"\b({TEST_WORDS})\b", self.low, re.A))
 
     def runs(self, compact: str):
         """(first, last) word of every place where consecutive words spell the name."""
@@ -74,8 +81,7 @@ class Asked:
     def as_code(self, word: str) -> bool:
         """Whether the query quotes the word, calls it, or asks where it is defined."""
         w = re.escape(word)
-        before = r"\b(?:where is|where's|find|locate|definition of|implementation of|function|method|class|symbol)\s+" + w + r"\b"
-        after = rf"\b{w}\s+(?:is\s+)?(?:defined|implemented|declared|function|method|class)\b"
+        before, after = rf"\b(?:{BEFORE_CODE})\s+{w}\b", rf"\b{w}\s+(?:is\s+)?(?:{AFTER_CODE})\b"
         return f"`{word}`" in self.low or f"{word}(" in self.low or self.has(f"{before}|{after}")
 
     def as_command(self, name: str) -> bool:
@@ -83,7 +89,7 @@ class Asked:
         w = re.escape(name)
         if "-" in name or "_" in name:
             return self.has(rf"(?<![a-z0-9_-]){w}(?![a-z0-9_-])")
-        return f"`{name}`" in self.low or self.has(rf"\b(?:npm run|npx|yarn|pnpm|command|subcommand|tool)\s+{w}\b|\b{w}\s+(?:command|subcommand|tool)\b")
+        return f"`{name}`" in self.low or self.has(rf"\b(?:{RUNNERS}|{COMMAND_NOUNS})\s+{w}\b|\b{w}\s+(?:{COMMAND_NOUNS})\b")
 
 
 @lru_cache(maxsize=4096)
@@ -180,7 +186,7 @@ def path_hits(files: DataFrame, terms: DataFrame, stems: int = 3, folders: int =
 def prose_weight(query) -> Column:
     """1 for tasks about documentation, 0.85 for those that ask how something works, else 0.7."""
     low = F.lower(query)
-    return F.when(P.is_doc_task(query), 1.0).when(low.rlike(r"\b(how|why|explain|overview|architecture|design|concepts?|works?)\b"), 0.85).otherwise(0.7)
+    return F.when(P.is_doc_task(query), 1.0).when(low.rlike(rf"\b({EXPLAINING})\b"), 0.85).otherwise(0.7)
 
 
 def structural(symbol, parent) -> Column:
@@ -205,7 +211,7 @@ def scored(rows: DataFrame, now=None) -> DataFrame:
     named = rows.withColumn("_n", naming("file_path", "symbol_name", "parent_symbol", "symbol_type", "query", "specific"))
     path = F.col("file_path")
     test, doc = P.is_test(path), P.is_doc(path)
-    wants = F.lower("query").rlike(r"\b(test|tests|spec|coverage)\b")
+    wants = F.lower("query").rlike(rf"\b({TEST_WORDS})\b")
     signals = {
         "semantic": clamp01(F.coalesce("semantic", F.lit(0.0))), "keyword": clamp01(F.coalesce("keyword", F.lit(0.0))), "symbol": F.col("_n.symbol"), "path": clamp01(F.coalesce("path_hint", "_n.path")),
         "structural": structural(F.col("symbol_name"), F.col("parent_symbol")), "dependency": clamp01(F.coalesce("dependency", F.lit(0.0))), "reference": clamp01(F.coalesce("reference", F.lit(0.0))),

@@ -17,6 +17,11 @@ from . import expand, facets, hybrid, intent, lookup, search, select, signals
 FACET_HITS, WHOLE_HITS, SYMBOLS, NAMED = 16, 40, 8, 0.8
 
 
+#: How a task begins that looks a definition up, and words of one that wants its uses.
+LOOKS_UP = "where\\b|which (file|module|function|class)\\b|locate\\b|find (the )?(definition|implementation)\\b"
+USES = "tests?|specs?|usages?|used|references?|callers?|called|calls"
+
+
 @dataclass(frozen=True)
 class Context:
     """What a batch of tasks leads to; every table is keyed by query_id."""
@@ -35,7 +40,7 @@ def organic_floor(ranked: DataFrame, queries: DataFrame, gap: float = 0.15) -> D
     """(query_id, floor) under which candidates without an exact floor go: the score above the first gap among them from the
     third on; infinite where a definition is looked up and an exact symbol is there; 0 otherwise."""
     text = F.lower("text")
-    looks = text.rlike(r"^\s*(where\b|which (file|module|function|class)\b|locate\b|find (the )?(definition|implementation)\b)") & ~text.rlike(r"\b(tests?|specs?|usages?|used|references?|callers?|called|calls)\b")
+    looks = text.rlike(rf"^\s*({LOOKS_UP})") & ~text.rlike(rf"\b({USES})\b")
     exact = ranked.groupBy("query_id").agg(F.max("exact_floor").alias("top"))
     cut = search.gap_cut(ranked.where("exact_floor = 0").select("query_id", "id", "total"), "query_id", gap)
     met = queries.select("query_id", looks.alias("looks")).join(exact, "query_id", "left").join(cut, "query_id", "left")
@@ -84,7 +89,7 @@ def task_context(chunks: DataFrame, queries: DataFrame, provider=None, aliases:
     full = signals.scored(every.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(rows, "id"), now)
     best = Window.partitionBy("query_id", "id").orderBy(F.desc("total"), "expansion", F.desc("keyword"), F.desc("semantic"))
     candidates = staged(full.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n"), "candidates")
-    wants = queries.select("query_id", P.is_doc_task(F.col("text")).alias("wants_docs"), F.lower("text").rlike(r"\b(test|tests|spec|coverage)\b").alias("wants_tests"))
+    wants = queries.select("query_id", P.is_doc_task(F.col("text")).alias("wants_docs"), F.lower("text").rlike(rf"\b({signals.TEST_WORDS})\b").alias("wants_tests"))
     judged = candidates.join(wants, "query_id").select("query_id", "id", F.col("file_path").alias("file"), F.col("symbol_name").alias("symbol"), "content", "literals", P.is_test(F.col("file_path")).alias("is_test"), "wants_docs", "wants_tests")
     relevance = staged(facets.relevance(judged, plan, ranks), "relevance")
     selected = staged(_chosen_rows(_chosen(candidates, queries, asked, plan, relevance), candidates), "selected")

@@ -9,8 +9,10 @@ from pyspark.sql.window import Window
 from ..functions.text import round_at, token_estimate
 
 EVENT = "ts string, kind string, tool string, repo string, resultTokens long, baselineTokens long, latencyMs double"
-#: Dollars a million tokens, turns of a chat, files an agent reads, tokens of the smallest known repository.
+#: Dollars a million tokens, turns of a chat, files an agent reads, files of a repository nobody counted.
 RATE, TURNS, READ, UNKNOWN = 3.0, 15, 12, 120
+#: Most tokens, tokens at least and tokens a file of a search, of file reads and of a listing.
+COSTS = ((15_000, 400, 12), (70_000, 2_000, 80), (8_000, 200, 8))
 
 
 def append(events: DataFrame, folder: str) -> None:
@@ -28,8 +30,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def heuristic(files) -> Column:
     """Tokens of a listing, a search and some file reads in a repository of so many files."""
-    part = lambda most, base, per: F.least(F.lit(most), F.lit(base) + F.lit(per) * files)
-    return (part(15_000, 400, 12) + part(70_000, 2_000, 80) + part(8_000, 200, 8)).cast("long")
+    return sum((F.least(F.lit(most), F.lit(base) + F.lit(per) * files) for most, base, per in COSTS), F.lit(0)).cast("long")
 
 
 def baseline(repos: DataFrame, measured: DataFrame) -> DataFrame:
