@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp01, round_at, tokens
+from ..session import staged
 
 #: Weights of the nine signals.
 WEIGHTS = {"semantic": 0.70, "keyword": 0.20, "symbol": 0.10, "path": 0.05, "structural": 0.05, "dependency": 0.08, "reference": 0.08, "test": 0.03, "recency": 0.02}
@@ -191,11 +192,16 @@ def gap_cut(rows: DataFrame, by: str, gap: float = 0.15) -> DataFrame:
     return stepped.groupBy(by).agg(F.coalesce(cut, F.lit(0.0)).alias("floor"))
 
 
+def _word_sets(docs: DataFrame, by: str, least: int) -> DataFrame:
+    """doc_id, by, the sorted distinct words and their hash of every row with at least so many."""
+    sets = docs.select("doc_id", by, F.array_sort(F.array_distinct(tokens("text"))).alias("w")).where(F.size("w") >= least)
+    return sets.withColumn("_k", F.sha2(F.array_join("w", " "), 256))
+
+
 def near_duplicate_classes(docs: DataFrame, by: str, least: int = 12) -> DataFrame:
     """(by, doc_id, class_id): rows of one group with the same distinct words, at least so many, are a class; its id is its
     smallest doc_id."""
-    sets = docs.select("doc_id", by, F.array_sort(F.array_distinct(tokens("text"))).alias("w")).where(F.size("w") >= least)
-    keyed = sets.select("doc_id", by, F.sha2(F.array_join("w", " "), 256).alias("_k"))
+    keyed = _word_sets(docs, by, least).drop("w")
     low = keyed.groupBy(by, "_k").agg(F.min("doc_id").alias("class_id"))
     return keyed.join(low, [by, "_k"]).select(by, "doc_id", "class_id")
 
@@ -203,19 +209,21 @@ def near_duplicate_classes(docs: DataFrame, by: str, least: int = 12) -> DataFra
 def near_duplicate_pairs(docs: DataFrame, by: str, percent: int = 80, least: int = 12) -> DataFrame:
     """(a, b, shared) of classes of one group (see near_duplicate_classes()) whose distinct words have that similarity.
 
-    Equal sets stand in the search once, so copies are never paired. A pair of that similarity shares a word among the
-    rarest of each: only those prefixes are joined, sizes and whole word sets are compared after it.
+    Texts are cut into words once, and equal sets stand in the search once, so copies are never paired. A pair of that
+    similarity shares a word among the rarest of each: only those prefixes are joined, sizes and whole word sets are compared
+    after it.
     """
-    every = near_duplicate_classes(docs, by, least)
-    own = docs.join(every.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = own.select("doc_id", by, F.array_distinct(tokens("text")).alias("w")).where(F.size("w") >= least)
+    every = staged(_word_sets(docs, by, least), "word sets")
+    first = every.groupBy(by, "_k").agg(F.min("doc_id").alias("doc_id"))
+    sets = every.join(first, [by, "_k", "doc_id"], "left_semi").select("doc_id", by, "w")
     words = sets.select("doc_id", by, F.size("w").alias("n"), F.explode("w").alias("word"))
     df = words.groupBy(by, "word").agg(F.count("*").alias("df"))
     rare = Window.partitionBy("doc_id").orderBy("df", "word")
     prefix = words.join(df, [by, "word"]).withColumn("i", F.row_number().over(rare)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1")
+    prefix = staged(prefix.select(by, "word", "doc_id", "n"), "prefixes")
     left, right = prefix.select(by, "word", F.col("doc_id").alias("a"), F.col("n").alias("na")), prefix.select(by, "word", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     pairs = left.join(right, [by, "word"]).where("a < b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
+    met = pairs.join(every.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(every.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb")).cast("long")
     return met.select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb")).alias("_n")).where(100 * F.col("shared") >= percent * (F.col("_n") - F.col("shared"))).drop("_n")
 

@@ -406,3 +406,31 @@ def test_hybrid_prefers_what_is_named(spark):
     asked = spark.createDataFrame([(7, "plain words of beta gamma")], "query_id long, text string")
     got = [(r["rank"], r.id) for r in hybrid.hybrid_search(docs, asked, 2, embed.Hash(64), F.to_timestamp(F.lit("2024-01-01"))).collect()]
     assert sorted(got) == [(1, 2), (2, 1)]
+
+
+def test_line_updates_and_compaction(spark, tmp_path):
+    from siftline.operators import store
+    from siftline.sources import snapshots
+
+    rows = spark.createDataFrame([("1", "b.ts", 1, 5), ("2", "a.ts", 6, 9)], "id string, file_path string, start_line int, end_line int")
+    moved = store.update_lines(rows, spark.createDataFrame([("2", 7, 10), ("9", 1, 1)], "id string, start_line int, end_line int"))
+    assert sorted(map(tuple, moved.collect())) == [("1", "b.ts", 1, 5), ("2", "a.ts", 7, 10)]
+    table = snapshots.SnapshotTable(spark, str(tmp_path / "t"))
+    for _ in range(3):
+        table.commit(moved)
+    first = table.current()
+    assert table.compact(1) != first and [r.file_path for r in table.read().collect()] == ["a.ts", "b.ts"]
+    assert len(list((tmp_path / "t").glob("s-*"))) == 2 and not (tmp_path / "t" / "LOCK").exists()
+    (tmp_path / "t" / "LOCK").write_text('{"host": "%s", "pid": 999999999}' % __import__("socket").gethostname())
+    table.commit(moved)  # the lock of a dead process is taken over
+
+
+def test_evenly_spaced_matches_plain(spark):
+    from siftline.operators import store
+
+    rng = random.Random(4)
+    for n in (0, 1, 31, 32, 33, 500):
+        keys = [f"src/{rng.randrange(10**6)}.ts" for _ in range(n)]
+        got = sorted(r.k for r in store.evenly_spaced(spark.createDataFrame([(k,) for k in keys], "k string"), "k", 32, cuts=7).collect())
+        want = sorted(keys) if n <= 32 else [sorted(keys)[i * n // 32] for i in range(32)]
+        assert got == want
