@@ -14,6 +14,8 @@ from .kernels import buffers, runs, word_hashes
 
 PIECE = 1 << 12  # parameters of a row that is summed
 TOKENS = 1 << 13  # tokens that are scored at a time
+KNOWN = 1 << 16  # words whose counts go out to the tasks, 16 bytes each; those of rarer words are joined
+CHUNK = 1 << 11  # tokens whose group probabilities are held at a time
 
 
 @dataclass(frozen=True)
@@ -23,13 +25,13 @@ class Shape:
     A slot is predicted in two steps: its group of `fan` neighbours in rank, then its place in the group.
     """
 
-    words: int = 3072
-    buckets: int = 1024
-    fan: int = 64
-    width: int = 24
+    words: int = 2048
+    buckets: int = 256
+    fan: int = 48
+    width: int = 12
     sides: tuple[int, ...] = (-2, -1, 1, 2)
     rate: float = 0.1
-    batch: int = 4096  # tokens of a training step
+    batch: int = 16384  # tokens of a training step
     rounds: int = 4  # parts of the corpus, after each of which the replicas are averaged
     shard: int = 1 << 27  # bytes of text that train a replica in order
     least: int = 24  # shards of a small corpus
@@ -64,13 +66,15 @@ class Shape:
 
 @dataclass(frozen=True)
 class Language:
-    """Corpus counts (frequent word hashes, sorted, with their slots; tokens of other words by bucket; n of every word
-    as a table) and the network."""
+    """Corpus counts (frequent word hashes, sorted, with their slots; tokens of other words by bucket; the KNOWN most frequent
+    words, sorted, with the logarithms of their counts; n of every word as a table) and the network."""
 
     shape: Shape
     hashes: np.ndarray
     ranks: np.ndarray
     totals: np.ndarray
+    known: np.ndarray
+    logs: np.ndarray
     params: np.ndarray
     counts: DataFrame | None = None  # not sent to tasks
 
@@ -121,59 +125,89 @@ def context_of(slots: np.ndarray, at: np.ndarray, s: Shape, first: int = 0, last
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _safe(z: np.ndarray) -> np.ndarray:
+    """Scores whose exponentials neither overflow nor change the probabilities."""
+    if z.size and z.max() > 60:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order, the distinct values in it and where each begins; numbers below 2 ** 16 are sorted by radix."""
+    order = np.argsort(values.astype(np.uint16) if values.max(initial=0) < 1 << 16 else values, kind="stable")
+    own = values[order]
+    cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))[: len(own)])
+    return order, own[cut], cut
 
 
 def _by_group(target: np.ndarray, s: Shape):
     """An order of the tokens by the group of their slot, and (group, first, stop) within it."""
-    group = target // s.fan
-    order = np.argsort(group, kind="stable")
-    edge = np.flatnonzero(np.diff(group[order], prepend=-1))
-    return order, list(zip(group[order[edge]].tolist(), edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True))
+    order, groups, cut = _sorted(target // s.fan)
+    return order, list(zip(groups.tolist(), cut.tolist(), np.append(cut[1:], len(order)).tolist(), strict=True))
+
+
+def _hidden(sides: np.ndarray, context: np.ndarray) -> np.ndarray:
+    out = sides[0][context[0]]
+    for k in range(1, len(sides)):
+        out += sides[k][context[k]]
+    return np.tanh(out, out=out)
+
+
+def _log_chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of one score of every row; z is used up."""
+    own = _safe(z)[np.arange(len(at)), at]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def log_probabilities(params: np.ndarray, s: Shape, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of every target slot, given the slots on both its sides."""
     sides, head, bias, place, place_bias = views(params, s)
-    hidden = np.tanh(sum(sides[k][context[k]] for k in range(len(s.sides))))
-    out = _log_softmax(hidden @ head + bias)[np.arange(len(target)), target // s.fan]
     order, parts = _by_group(target, s)
-    hidden, within = hidden[order], target[order] % s.fan
-    inner = np.empty(len(target), out.dtype)
+    hidden, group, within = _hidden(sides, context[:, order]), target[order] // s.fan, target[order] % s.fan
+    own = np.empty(len(target), hidden.dtype)
+    for i in range(0, len(target), CHUNK):
+        own[i : i + CHUNK] = _log_chosen(hidden[i : i + CHUNK] @ head + bias, group[i : i + CHUNK])
     for g, a, b in parts:
-        inner[a:b] = _log_softmax(hidden[a:b] @ place[g] + place_bias[g])[np.arange(b - a), within[a:b]]
-    out[order] += inner
+        own[a:b] += _log_chosen(hidden[a:b] @ place[g] + place_bias[g], within[a:b])
+    out = np.empty_like(own)
+    out[order] = own
     return out
 
 
+def _slopes(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Softmax of every row, less one at its target, over n; z is used up."""
+    np.exp(_safe(z), out=z)
+    z *= (1 / (n * z.sum(axis=1)))[:, None]
+    z[np.arange(len(at)), at] -= 1 / n
+    return z
+
+
 def gradient(params: np.ndarray, s: Shape, context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of the mean negative log-probability of the targets."""
     order, parts = _by_group(target, s)
     context, target = context[:, order], target[order]
+    group, within, n = target // s.fan, target % s.fan, len(target)
     sides, head, bias, place, place_bias = views(params, s)
-    hidden = np.tanh(sum(sides[k][context[k]] for k in range(len(s.sides))))
+    hidden = _hidden(sides, context)
     out = np.zeros_like(params)
     g_sides, g_head, g_bias, g_place, g_place_bias = views(out, s)
-    z = np.exp(_log_softmax(hidden @ head + bias))
-    z[np.arange(len(target)), target // s.fan] -= 1
-    z /= len(target)
-    g_head += hidden.T @ z
-    g_bias += z.sum(axis=0)
-    back = z @ head.T
+    back = np.empty_like(hidden)
+    for i in range(0, n, CHUNK):
+        h = hidden[i : i + CHUNK]
+        z = _slopes(h @ head + bias, group[i : i + CHUNK], n)
+        g_head += h.T @ z
+        g_bias += z.sum(axis=0)
+        back[i : i + CHUNK] = z @ head.T
     for g, a, b in parts:
-        y = np.exp(_log_softmax(hidden[a:b] @ place[g] + place_bias[g]))
-        y[np.arange(b - a), target[a:b] % s.fan] -= 1
-        y /= len(target)
-        g_place[g] = hidden[a:b].T @ y
-        g_place_bias[g] = y.sum(axis=0)
-        back[a:b] += y @ place[g].T
+        h = hidden[a:b]
+        z = _slopes(h @ place[g] + place_bias[g], within[a:b], n)
+        g_place[g] = h.T @ z
+        g_place_bias[g] = z.sum(axis=0)
+        back[a:b] += z @ place[g].T
     back *= 1 - hidden * hidden
     for k in range(len(s.sides)):
-        own = np.argsort(context[k], kind="stable")
-        cut = np.flatnonzero(np.diff(context[k][own], prepend=-1))
-        g_sides[k][context[k][own[cut]]] = np.add.reduceat(back[own], cut, axis=0)
+        own, slots, cut = _sorted(context[k])
+        g_sides[k][slots] = np.add.reduceat(back[own], cut, axis=0)
     return out
 
 
@@ -183,27 +217,23 @@ def train(params: np.ndarray, s: Shape, slots: np.ndarray, at: np.ndarray) -> np
     for first in range(0, len(slots), s.batch):
         last = min(len(slots), first + s.batch)
         g = gradient(params, s, context_of(slots, at, s, first, last), slots[first:last])
-        moved = np.flatnonzero(g)
-        own = g[moved]
-        total = sums[moved] + own * own
-        sums[moved] = total
-        params[moved] -= s.rate * own / (np.sqrt(total) + 1e-6)
+        sums += g * g
+        params -= s.rate * g / (np.sqrt(sums) + 1e-6)
     return params
 
 
 def _vocabulary(docs: DataFrame, shape: Shape) -> Language:
     counts = staged(word_counts(docs), "words")
     shape = shape.grown(counts.count())
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.words).collect()
-    hashes = np.array([r.word for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
+    known = counts.orderBy(F.desc("n"), "word").limit(max(KNOWN, shape.words)).toArrow()
+    words, times = np.asarray(known["word"]).astype(np.int64).view(np.uint64), np.asarray(known["n"]).astype(np.float64)
+    hashes, order, every = words[: shape.words], np.argsort(words[: shape.words]), np.argsort(words)
     bucket = F.expr(f"CAST(pmod(CAST(word AS DECIMAL(20,0)) + IF(word < 0, CAST('18446744073709551616' AS DECIMAL(20,0)), 0), {shape.buckets}) AS INT)")
     totals = np.zeros(shape.buckets)
     for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
         totals[r.bucket] = r.n
-    for r, h in zip(top, hashes, strict=True):
-        totals[int(h % np.uint64(shape.buckets))] -= r.n
-    return Language(shape, hashes[order], order.astype(np.int32), totals, start(shape), counts)
+    np.subtract.at(totals, (hashes % np.uint64(shape.buckets)).astype(np.int64), times[: shape.words])
+    return Language(shape, hashes[order], order.astype(np.int32), totals, words[every], np.log(times[every]), start(shape), counts)
 
 
 def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
@@ -212,11 +242,11 @@ def learn(docs: DataFrame, shape: Shape = Shape()) -> Language:  # noqa: B008
     Texts are dealt by a hash of doc_id and text to shards of shape.shard bytes, and in a shard ordered by it, so the model
     does not depend on how the input was partitioned. The shards are dealt to shape.rounds rounds; in a round each of its
     shards trains a replica of the model so far, and the replicas are averaged, weighted by their tokens, in a shuffle by
-    pieces of the parameters. Slots grow with the vocabulary. The driver gets the frequent words, one count for each
-    bucket and one network a round; the counts of all words stay a table, which score() joins.
+    pieces of the parameters. Slots grow with the vocabulary. The driver gets KNOWN words, one count for each bucket and
+    one network a round; the counts of all words stay a table, which score() joins.
     """
     language = _vocabulary(docs, shape)
-    shape, known = language.shape, replace(language, counts=None, params=np.zeros(0))
+    shape, known = language.shape, replace(language, counts=None, params=np.zeros(0), known=np.zeros(0), logs=np.zeros(0))
     shards = max(shape.least, (docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n // shape.shard))
 
     def encode(batches):
@@ -264,8 +294,8 @@ def score(docs: DataFrame, language: Language) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (summed over all tokens, each given both its sides) and score (per token).
 
     A word outside the frequent ones gets its bucket's probability times its own share of the bucket's tokens in the
-    corpus, n / (all + 1); the 1 left over is for words the corpus lacks. These shares depend only on how often a row has
-    a word, so rows' distinct words are joined with the counts. Null and blank texts have no tokens: 0 and a null score.
+    corpus, n / (all + 1); the 1 left over is for words the corpus lacks. The counts of KNOWN words go out to the tasks; the
+    shares depend only on how often a row has a word, so rows' rarer distinct words are joined with the counts. Null and blank texts have no tokens: 0 and a null score.
     Rows are scored one by one, so repeated rows get equal scores; texts of any length are scored whole, a few thousand
     tokens at a time; other columns are not read; an empty table gives an empty result.
     """
@@ -283,13 +313,21 @@ def score(docs: DataFrame, language: Language) -> DataFrame:
             for i in range(0, len(words), TOKENS):
                 own = slots[i : i + TOKENS]
                 each[i : i + TOKENS] = log_probabilities(language.params, s, context_of(slots, at, s, i, i + len(own)), own) + share[own]
+            rare = slots >= s.words
+            if len(language.known):
+                own = np.flatnonzero(rare)
+                place = np.minimum(np.searchsorted(language.known, words[own]), len(language.known) - 1)
+                found = language.known[place] == words[own]
+                each[own[found]] += language.logs[place[found]]
+                rare[own[found]] = False
             sums = np.concatenate(([0.0], np.cumsum(each)))
             total, n = sums[at[1:]] - sums[at[:-1]], np.diff(at)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), batch.column(0), pa.array(np.zeros(len(n), np.int64))], names)
             for first, last in runs(at, 1 << 18):
-                rest = np.flatnonzero(slots[at[first] : at[last]] >= s.words) + at[first]
+                rest = np.flatnonzero(rare[at[first] : at[last]]) + at[first]
                 doc = np.searchsorted(at, rest, side="right") - 1
-                order = np.lexsort((words[rest], doc))
+                order = np.argsort(words[rest])
+                order = order[_sorted(doc[order])[0]]
                 doc, own = doc[order], words[rest][order]
                 edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])))[: len(own)])
                 none = pa.nulls(len(edge), pa.int64())

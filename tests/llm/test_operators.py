@@ -541,6 +541,7 @@ def test_masked_lm_gradient():
 
 def test_masked_lm_matches_plain_sums_however_rows_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(masked_lm, "TOKENS", 7)
+    monkeypatch.setattr(masked_lm, "KNOWN", 25)
     rng = random.Random(12)
     rows = [(i, prose(rng, rng.randrange(1, 60), 30)) for i in range(120)] + [(500, None), (501, ""), (None, "w1x w2x"), (7, "w1x w2x"), (7, "w1x w2x"), (600, prose(rng, 5000, 40))]
     shape = masked_lm.Shape(words=20, buckets=3, fan=6, width=5, batch=64, least=8)
