@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clamp01
+from ..session import staged
 from .embed import Hash
-from .search import bm25, merge_candidates, top_k, vector_top_k
+from .search import bm25, merge_candidates, rows_of, top_k, vector_top_k
 from .signals import scored, specific_words
 
 
@@ -33,8 +34,9 @@ def candidates(docs: DataFrame, queries: DataFrame, k: int, provider: Hash | Non
     Only the candidates, at most 2 * k a query, meet their rows again."""
     have = [F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in OPTIONAL.items()]
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), *have)
-    found = channels(docs.select("doc_id", "text"), queries.select("query_id", "text"), k, provider).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    met = found.join(rows.withColumn("file_path", F.coalesce("file_path", F.lit(""))), "id")
+    found = staged(channels(docs.select("doc_id", "text"), queries.select("query_id", "text"), k, provider), "channels")
+    own = rows_of(rows.withColumn("file_path", F.coalesce("file_path", F.lit(""))), found, "id")
+    met = found.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(own, "id")
     if "file_path" in docs.columns:
         met = met.join(specific_words(docs.select("file_path")).withColumnRenamed("words", "specific"), "file_path", "left")
     else:

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions.words import registers, short_singular, strip_comments
-from .search import top_k
+from ..session import staged
+from .search import rows_of, top_k
 
 #: Characters of the strings that one automaton seeks; more of them take several passes.
 NEEDLES = 2_000_000
@@ -84,8 +85,8 @@ def occurrences(chunks: DataFrame, terms: DataFrame, rare: int = 4, per_term: in
     exact: those that register it first, then those with more chunks, then by path. Documents are left out.
     """
     code = chunks.where(~P.is_doc(F.col("file_path"))).select("id", "file_path", strip_comments(F.col("content")).alias("code"), "content")
-    hits = containing(code, terms.select(F.col("term").alias("needle")), "id", "code").select("id", F.col("needle").alias("term"))
-    own = hits.join(code.select("id", "file_path", "content"), "id").withColumn("reg", registers(F.col("content"), F.col("term")))
+    hits = staged(containing(code, terms.select(F.col("term").alias("needle")), "id", "code").select("id", F.col("needle").alias("term")), "hits")
+    own = hits.join(rows_of(code.select("id", "file_path", "content"), hits, "id"), "id").withColumn("reg", registers(F.col("content"), F.col("term")))
     files = own.groupBy("term", "file_path").agg(F.count("*").alias("chunks"), F.max("reg").alias("registered"))
     few = F.count("*").over(Window.partitionBy("term")) <= rare
     nth = F.row_number().over(Window.partitionBy("term").orderBy(F.desc(F.col("rare") | F.col("registered")), F.desc("registered"), F.desc("chunks"), "file_path"))

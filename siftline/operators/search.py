@@ -35,6 +35,14 @@ def top_k(rows: DataFrame, by: list[str], order: list, k: int, rank: str = "rank
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("int")).where(F.col(rank) <= k)
 
 
+def rows_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among those of wanted, which should be written down, as it is read twice. Up to BROADCAST_ROWS keys
+    go to the rows, so that these are only scanned; more meet them by a shuffle."""
+    keys = wanted.select(key).distinct()
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if small else keys, key, "left_semi")
+
+
 def _blocks(rows: list, width: int) -> list[list]:
     """Queries in parts whose matrix of that width has at most CELLS numbers."""
     size = max(1, CELLS // max(1, width))
@@ -137,8 +145,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
             for batch in batches:
                 batch = batch.filter(pc.and_(pc.is_valid(batch.column(0)), pc.is_valid(batch.column(1))))
                 out: list[list] = [[], [], []]
-                for at in range(0, len(batch), 512):
-                    part = batch.slice(at, 512)
+                step = max(1, min(512, CELLS // len(column)))
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
                     weight = np.zeros((len(part), len(column)))
                     for i, text in enumerate(part.column(1).to_pylist()):
                         found = _WORD.findall(text.lower())

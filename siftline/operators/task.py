@@ -84,7 +84,7 @@ def task_context(chunks: DataFrame, queries: DataFrame, provider=None, aliases:
     reached = staged(expand.expanded(asked, staged(seeds, "seeds"), chunks.select("id", "file_path", "symbol_name", "imports", "content"), aliases, hops), "reached")
     more = reached.select("query_id", "id", "keyword", "dependency", "reference").withColumns({"semantic": F.lit(0.0), "path_hint": null("double"), "exact_identifier": F.lit(False), "expansion": F.lit(True)})
     every = staged(pool.unionByName(named).unionByName(more), "pool")
-    rows = chunks.join(every.select("id").distinct(), "id", "left_semi")
+    rows = search.rows_of(chunks, every, "id")
     rows = rows.join(signals.specific_words(chunks.select("file_path")).withColumnRenamed("words", "specific"), "file_path", "left")
     full = signals.scored(every.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(rows, "id"), now)
     best = Window.partitionBy("query_id", "id").orderBy(F.desc("total"), "expansion", F.desc("keyword"), F.desc("semantic"))

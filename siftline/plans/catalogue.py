@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import embed, evaluate, lookup, search, store, usage
+from ..session import staged
 from ..sources.repo import MAX_BYTES, SECRET_TEXT, SNIFF
 
 Q: dict = {}
@@ -295,8 +296,9 @@ r AS (SELECT i.facet, doc_id, floor(sum(idf) / max(total) * 10000 + 0.5) / 10000
 
 
 def _facet_share(t) -> DataFrame:
-    found = search.bm25(t("documents"), _items(t), 20).select(F.col("query_id").alias("facet"), "doc_id")
-    return search.idf_share(found.join(t("documents").select("doc_id", "text"), "doc_id"), _items(t).withColumnRenamed("query_id", "facet"))
+    found = staged(search.bm25(t("documents"), _items(t), 20).select(F.col("query_id").alias("facet"), "doc_id"), "pool")
+    texts = search.rows_of(t("documents").select("doc_id", "text"), found, "doc_id")
+    return search.idf_share(found.join(texts, "doc_id"), _items(t).withColumnRenamed("query_id", "facet"))
 
 
 @query(f"WITH {_FACET} SELECT facet, doc_id, share FROM r")
