@@ -17,7 +17,7 @@ from .kernels import buffers, runs, span_hashes
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 LONG = 48  # bytes of a unit above which it is searched alone
-RUN = 1 << 22
+RUN = 900_000  # bytes of text that are encoded at a time: no more than the powers that kernels.py keeps
 
 
 def _fields(data: bytes):
