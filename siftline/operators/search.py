@@ -23,6 +23,8 @@ WEIGHTS = {"semantic": 0.70, "keyword": 0.20, "symbol": 0.10, "path": 0.05, "str
 BROADCAST_ROWS = 100_000
 #: Numbers of a matrix of queries that goes out to the tasks; more queries take several passes.
 CELLS = 1 << 23
+#: Queries whose terms the driver holds at a time.
+QUERIES = 4096
 
 
 def dot(a, b) -> Column:
@@ -43,6 +45,12 @@ def rows_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if small else keys, key, "left_semi")
 
 
+def _dealt(queries: DataFrame, most: int) -> list[DataFrame]:
+    """Queries in parts of about `most` at most, dealt by a hash of their id; the driver holds one part at a time."""
+    k = max(1, -(-queries.count() // max(1, most)))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(k)) == i) if k > 1 else queries for i in range(k)]
+
+
 def _blocks(rows: list, width: int) -> list[list]:
     """Queries in parts whose matrix of that width has at most CELLS numbers."""
     size = max(1, CELLS // max(1, width))
@@ -54,8 +62,17 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     in double precision, ties to the smaller id.
 
     The stated query set meets all vectors in blocks of CELLS numbers: one matrix product a batch, of which a task keeps k
-    rows a query, so hardly anything is shuffled. Vectors of another length than the query's are left out.
+    rows a query, so hardly anything is shuffled. The driver holds one block; the results of several are written down one
+    after the other. Vectors of another length than the query's are left out.
     """
+    width = queries.agg(F.max(F.size("q")).alias("w")).first().w or 1
+    parts = _dealt(queries, CELLS // max(1, width))
+    if len(parts) == 1:
+        return _nearest(parts[0], vectors, k)
+    return reduce(DataFrame.unionByName, [staged(_nearest(part, vectors, k), "nearest") for part in parts])
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     asked = [(r.query_id, r.q) for r in queries.select("query_id", "q").where("q IS NOT NULL AND query_id IS NOT NULL").collect()]
     named = to_arrow_type(queries.schema["query_id"].dataType)
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
@@ -107,8 +124,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     the smaller id.
 
     Only the queries' own terms are looked at. One pass counts in how many texts each occurs, a second scores every text
-    against a block of queries by a matrix product, of which a task keeps k rows a query. Neither shuffles the texts.
+    against a block of queries by a matrix product, of which a task keeps k rows a query. Neither shuffles the texts. The
+    driver holds QUERIES queries at a time; the results of more are written down one part after the other.
     """
+    parts = _dealt(queries, QUERIES)
+    if len(parts) == 1:
+        return _matched(parts[0], docs, k, k1, b)
+    return reduce(DataFrame.unionByName, [staged(_matched(part, docs, k, k1, b), "matches") for part in parts])
+
+
+def _matched(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     asked = {q: t for q, t in _terms_of(queries).items() if t}
     named = to_arrow_type(queries.schema["query_id"].dataType)
     kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()

@@ -177,6 +177,7 @@ def test_vectors_and_words_match_brute_force(spark, monkeypatch, tmp_path):
     vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<double>")
     asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 50)], "query_id int, q array<double>")
     monkeypatch.setattr(search, "CELLS", 20)
+    monkeypatch.setattr(search, "QUERIES", 2)
     got = {}
     for r in search.vector_top_k(asked, vectors.repartition(5), 12).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
