@@ -17,6 +17,7 @@ from .components import connected
 from .kernels import buffers, shingles, word_hashes
 
 BITS = 256
+ROWS, PART = 512, 1 << 12  # texts and shingles that a worker holds the hashes of at a time
 #: Bits in which a set may differ from a node's head to be of its core (similarity about 0.6), or a member (about 0.2).
 CORE, MEMBER = 52, 100
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
@@ -43,8 +44,8 @@ def sketch(found: np.ndarray, paths: Paths) -> tuple[np.ndarray, np.ndarray]:
     """A 256-bit sketch (one bit of each minhash) and the minwise tokens by tree, level and branch."""
     a, b = _functions(paths)
     bits, heads, tails = None, [], []
-    for at in range(0, len(found), 1 << 15):
-        x = (found[at : at + (1 << 15)] >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(found), PART):
+        x = (found[at : at + PART] >> np.uint64(32)).astype(np.uint32)
         h = x[None, :] * a[:, None] + b[:, None]
         low = h[:BITS].min(axis=1)
         bits = low if bits is None else np.minimum(bits, low)
@@ -63,9 +64,12 @@ def sketch(found: np.ndarray, paths: Paths) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
-    hashes, at = word_hashes(*buffers(batch.column(batch.schema.get_field_index("text"))))
-    for i in range(len(at) - 1):
-        yield shingles(hashes[at[i] : at[i + 1]], k)
+    """The shingle sets of a batch's texts, of which ROWS are cut into words at a time."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    for first in range(0, len(batch), ROWS):
+        hashes, at = word_hashes(*buffers(column.slice(first, ROWS)))
+        for i in range(len(at) - 1):
+            yield shingles(hashes[at[i] : at[i + 1]], k)
 
 
 def signatures(docs: DataFrame, k: int, paths: Paths) -> DataFrame:
@@ -248,8 +252,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, paths: Paths
             links = links.unionByName(verified(more, _sets_of(_ends(more).distinct(), docs, sets, k), percent))
             roots = connected(links)
     sized = sets.select("set_key", "rep").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    low = sized.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = staged(sized.join(low, "root").select("set_key", "root", "component_id"), "components")
+    low = staged(sized.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("size")), "roots")
+    classes = staged(join_counted(sized, low, "root", "size").select("set_key", "root", "component_id"), "components")
+    dropped(low)
     named = own.select("doc_id", "text_hash", "n_shingles", "set_key")
     filled = named.where("set_key IS NOT NULL").join(classes, "set_key").select("doc_id", "text_hash", "n_shingles", "root", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     blank = named.where("set_key IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("set_key").alias("root"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
