@@ -435,3 +435,24 @@ def test_evenly_spaced_matches_plain(spark):
         got = sorted(r.k for r in store.evenly_spaced(spark.createDataFrame([(k,) for k in keys], "k string"), "k", 32, cuts=7).collect())
         want = sorted(keys) if n <= 32 else [sorted(keys)[i * n // 32] for i in range(32)]
         assert got == want
+
+
+def test_near_duplicate_pairs_compare_whole_sets_of_close_pairs_only(spark, monkeypatch):
+    draw, staged, written = random.Random(5), search.staged, {}
+    monkeypatch.setattr(search, "staged", lambda df, name: written.setdefault(name, staged(df, name)))
+    rows = []
+    for at in range(160):
+        base = draw.sample(range(900 if at % 2 else 90), draw.choice((12, 30, 60, 700)) if at % 2 else 40)
+        for n in range(draw.choice((1, 1, 2, 3))):
+            own = [*base[n * len(base) // 12 :], *range(1000 + at, 1000 + at + n)]
+            rows.append((draw.randrange(400), draw.choice(("x", "y", None)) if at % 8 == 0 else "x", " ".join(f"w{w:04}" for w in own)))
+    rows += [rows[0], (rows[1][0], "x", " ".join(f"w{w:04}" for w in range(30)))]
+    got = search.near_duplicate_pairs(spark.createDataFrame(rows, "doc_id long, source string, text string"), "source").collect()
+    sets = [(i, s, frozenset(t.split())) for i, s, t in rows if s and len(set(t.split())) >= 12]
+    first = {}
+    for i, s, w in sets:
+        first[s, w] = min(i, first.get((s, w), i))
+    sets = [x for x in sets if x[0] == first[x[1:]]]
+    want = [(a, b, len(v & w)) for a, s, v in sets for b, t, w in sets if s == t and a < b and 100 * len(v & w) >= 80 * len(v | w)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
+    assert written["pairs"].count() <= 3 * len(want)
