@@ -75,6 +75,26 @@ def test_near_duplicates_match_brute_force(spark, odd, leaf):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(s), low[r] if s else i, not s or low[r] == i)
 
 
+def test_near_duplicates_make_the_rows_of_a_level_once(spark, monkeypatch):
+    rng, staged, made = random.Random(3), neardup.staged, {}
+    base = [f"b{n}" for n in range(60)]
+    rows = [(i, " ".join(rng.choice((w, w, f"x{rng.randrange(9)}")) for w in base)) for i in range(120)]
+
+    def seen(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        table = staged(df, name)
+        made[name] = plan.count("Generate explode"), table.count()
+        return table
+
+    monkeypatch.setattr(neardup, "staged", seen)
+    paths = neardup.Paths(leaf=4)
+    sets = neardup.signatures(frame(spark, rows), 2, paths).withColumnRenamed("doc_id", "rep")
+    neardup.candidates(sets, 80, paths)
+    for level in range(2, paths.levels + 1):
+        assert made[f"nodes{level}"][0] == made[f"level{level}"][0] == 0
+        assert 0 < made[f"rows{level}"][1] <= len(rows) * paths.trees * paths.branch**level
+
+
 def test_near_duplicates_edges(spark, odd):
     assert len(neardup.near_duplicates(frame(spark, odd)).collect()) == len(odd)
     kept = neardup.keep_one(frame(spark, odd))
