@@ -95,6 +95,44 @@ def test_near_duplicates_make_the_rows_of_a_level_once(spark, monkeypatch):
         assert 0 < made[f"rows{level}"][1] <= len(rows) * paths.trees * paths.branch**level
 
 
+def test_near_duplicates_of_texts_alike_but_not_linked(spark, monkeypatch):
+    rng, staged, made = random.Random(5), neardup.staged, {}
+    base = [f"b{n}" for n in range(80)]
+    rows = [(i, " ".join(f"x{rng.randrange(9999)}" if rng.random() < 0.12 else w for w in base)) for i in range(240)]
+    for i in range(0, 240, 8):  # some are linked all the same, 90 words of which one differs or two
+        text = f"{rows[i][1]} " + " ".join(f"y{i}y{n}" for n in range(10))
+        rows += [(1000 + i, text), (2000 + i, text.replace(f"y{i}y4", "z")), (3000 + i, text.replace(f"y{i}y4", "z").replace(f"y{i}y8", "z"))]
+
+    def seen(df, name):
+        made[name] = table = staged(df, name)
+        made[name, "rows"] = table.count()
+        return table
+
+    monkeypatch.setattr(neardup, "staged", seen)
+    roots, sets = components(rows, 2, 80)
+    low = {}
+    for (i, _), r in zip(rows, roots, strict=True):
+        low[r] = min(low.get(r, 1 << 40), i)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), k=2, paths=neardup.Paths(levels=1, block=8)).collect()}
+    assert got == {i: low[r] for (i, _), r in zip(rows, roots, strict=True)}
+    assert made["rest", "rows"] >= 200  # compared in the blocks of their nodes, they came to 1,525 pairs
+    assert made["more", "rows"] <= 2 * len(rows)
+
+
+def test_near_duplicates_rest_is_compared_by_prefixes_without_loss(spark):
+    rng = random.Random(7)
+    base = [f"b{n}" for n in range(60)]
+    rows = [(i, " ".join(rng.choice((w, w, w, w, w, w, w, w, w, f"x{rng.randrange(3)}")) for w in base)) for i in range(150)]
+    signed = neardup.signatures(frame(spark, rows), 2, neardup.Paths()).where("set_key IS NOT NULL").dropDuplicates(["set_key"])
+    rest = signed.select(F.struct(F.col("set_key").alias("key"), F.col("n_shingles").alias("n"), *neardup.SKETCH).alias("me"), F.col("set_key").alias("root"))
+    whole = neardup.whole_sets(frame(spark, rows), 2).dropDuplicates(["set_key"])
+    name = {r.set_key: r.doc_id for r in signed.collect()}
+    sets = dict(zip([i for i, _ in rows], shingle_sets(rows, 2), strict=True))
+    alike = {(a, b) for a in name.values() for b in name.values() if a < b and 100 * len(sets[a] & sets[b]) >= 65 * len(sets[a] | sets[b])}
+    got = neardup.verified(neardup._prefix_pairs(rest, whole, 65, neardup.Paths(block=8)), whole, 65).collect()
+    assert len(got) == len(alike) > 200 and {tuple(sorted((name[r.a], name[r.b]))) for r in got} == alike
+
+
 def test_near_duplicates_edges(spark, odd):
     assert len(neardup.near_duplicates(frame(spark, odd)).collect()) == len(odd)
     kept = neardup.keep_one(frame(spark, odd))
