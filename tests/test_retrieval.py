@@ -456,3 +456,25 @@ def test_near_duplicate_pairs_compare_whole_sets_of_close_pairs_only(spark, monk
     want = [(a, b, len(v & w)) for a, s, v in sets for b, t, w in sets if s == t and a < b and 100 * len(v & w) >= 80 * len(v | w)]
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20
     assert written["pairs"].count() <= 3 * len(want)
+
+
+def test_near_duplicates_of_all_documents(spark, monkeypatch):
+    from siftline.plans import catalogue
+
+    monkeypatch.setattr(search, "WEIGHT", 900, raising=False)
+    draw, rows = random.Random(8), []
+    for at in range(60):
+        base = draw.sample(range(600), draw.choice((1, 3, 6, 11, 25, 60)))
+        for n in range(draw.choice((1, 2, 4, 40))):
+            own = [w for w in base if draw.random() > 0.04] + ([600 + n] if n % 3 == 0 else [])
+            rows.append((len(rows), draw.choice(("x", "y", None)), " ".join(f"w{w:04}" for w in own)))
+    rows += [(len(rows), "x", "a b"), (len(rows) + 1, "y", ""), (len(rows) + 2, "y", None), (3, "y", rows[9][2])]
+    got = catalogue.near_duplicates(lambda name: spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    sets = [(i, frozenset(re.findall("[a-z0-9_]{3,}", t or ""))) for i, _, t in rows]
+    sets, low = [(i, w) for i, w in sets if w], {}
+    for i, w in sets:
+        low[w] = min(i, low.get(w, i))
+    heads = [(i, w) for i, w in sets if low[w] == i]
+    want = [(a, b, len(v & w)) for a, v in heads for b, w in heads if a < b and 100 * len(v & w) >= 80 * len(v | w)]
+    copies = [(low[w], i, len(w)) for i, w in sets if low[w] != i]
+    assert sorted(map(tuple, got)) == sorted(want + copies) and len(want) > 200 and len(copies) > 20
